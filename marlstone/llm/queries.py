@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, quality
+from marlstone.llm import mixing, packing, quality, rans, token_counts
 from marlstone.llm.common import documents
 from marlstone.llm.oracle import SQL
 
 
+def op1_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = rans.round_trip(documents(spark, sf_dir))
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_copies(documents(spark, sf_dir))
     return planned.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken", "source", "copies")
@@ -22,6 +28,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, "n_lines", "n_stop_words", *(f"fails_{r.name}" for r in quality.THRESHOLDS))
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(documents(spark, sf_dir)))
+
+
+def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
