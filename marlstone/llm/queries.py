@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, ngram_join, packing, quality, rans, token_counts
+from marlstone.llm import mixing, ngram_join, packing, quality, rans, token_counts, windows
 from marlstone.llm.common import documents
 from marlstone.llm.oracle import SQL
 
@@ -26,6 +26,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(documents(spark, sf_dir))
 
 
+def op7_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = windows.dedup_windows(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
