@@ -33,6 +33,26 @@ ranked AS (
 planned AS (
   SELECT *, CAST(CASE WHEN source_size = 0 THEN 0 ELSE floor(k * target / source_size + u) - floor((k - 1) * target / source_size + u) END AS BIGINT) AS copies FROM ranked)
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM planned
+""",
+    "op4_line_dedup": r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+places AS (
+  SELECT doc_id, unnest(range(1, len(lines) + 1)) AS spot, unnest(lines) AS line FROM split),
+worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS pos FROM places WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+runs AS (
+  SELECT doc_id, pos, line AS l1, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3 FROM worded WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+ordered AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, pos) AS copy FROM runs WHERE l3 IS NOT NULL),
+gone AS (
+  SELECT DISTINCT doc_id, pos + j AS pos FROM ordered, (VALUES (0), (1), (2)) AS o(j) WHERE copy > 1),
+marked AS (
+  SELECT p.doc_id, p.spot, p.line, w.pos IS NOT NULL AS is_worded, g.pos IS NOT NULL AS is_gone
+  FROM places p LEFT JOIN worded w ON w.doc_id = p.doc_id AND w.spot = p.spot LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos)
+SELECT doc_id, CAST(count(*) FILTER (WHERE is_worded) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE is_gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY spot) FILTER (WHERE NOT is_gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
 """,
     "op8_quality_rules": rf"""
 WITH base AS (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, ngram_join, packing, quality, rans, token_counts, windows
+from marlstone.llm import line_dedup, mixing, ngram_join, packing, quality, rans, token_counts, windows
 from marlstone.llm.common import documents
 from marlstone.llm.oracle import SQL
 
@@ -22,6 +22,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken", "source", "copies")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(documents(spark, sf_dir))
 
