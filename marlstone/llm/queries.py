@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import line_dedup, mixing, ngram_join, packing, quality, rans, token_counts, windows
+from marlstone.llm import edit_prints, line_dedup, mixing, ngram_join, packing, quality, rans, token_counts, windows
 from marlstone.llm.common import documents
 from marlstone.llm.oracle import SQL
 
@@ -27,6 +27,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_prints.print_with_edits(documents(spark, sf_dir))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(documents(spark, sf_dir))
 
