@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.llm import quality
+from marlstone.llm import quality, secrets
 
 _STOPS = ", ".join("'" + w + "'" for w in sorted(set(quality.STOP_WORDS)))
+_ASSIGN = """'(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'""".replace("(?i:password|passwd|secret|token|api_?key)", secrets.ASSIGNED.partition(")")[0] + ")")
 
 SQL = {
     "op2_mix_sources": r"""
@@ -33,6 +34,36 @@ ranked AS (
 planned AS (
   SELECT *, CAST(CASE WHEN source_size = 0 THEN 0 ELSE floor(k * target / source_size + u) - floor((k - 1) * target / source_size + u) END AS BIGINT) AS copies FROM ranked)
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM planned
+""",
+    "op3_secret_scan": rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS body FROM documents),
+cut AS (
+  SELECT rid, source, lang, 0 AS kind, regexp_extract_all(body, {_ASSIGN}) AS m, regexp_extract_all(body, {_ASSIGN}, 2) AS v, string_split_regex(body, {_ASSIGN}) AS p FROM texts UNION ALL
+  SELECT rid, source, lang, 1, regexp_extract_all(body, 'AKIA[A-Z0-9]+'), regexp_extract_all(body, 'AKIA[A-Z0-9]+'), string_split_regex(body, 'AKIA[A-Z0-9]+') FROM texts UNION ALL
+  SELECT rid, source, lang, 2, regexp_extract_all(body, '[0-9a-f]+'), regexp_extract_all(body, '[0-9a-f]+'), string_split_regex(body, '[0-9a-f]+') FROM texts UNION ALL
+  SELECT rid, source, lang, 3, regexp_extract_all(body, '[A-Za-z0-9+/_=-]+'), regexp_extract_all(body, '[A-Za-z0-9+/_=-]+'), string_split_regex(body, '[A-Za-z0-9+/_=-]+') FROM texts),
+rows_ AS (
+  SELECT rid, source, lang, kind, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(p[1:len(m)]) AS gap FROM cut WHERE len(m) > 0),
+placed AS (
+  SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop FROM rows_),
+counted AS (
+  SELECT rid, source, lang, kind, stop - length(m) AS start, stop, v FROM placed
+  WHERE CASE kind WHEN 0 THEN length(v) >= 6 WHEN 1 THEN length(v) >= 20 WHEN 2 THEN length(v) >= 24
+             ELSE length(v) >= 20 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') END),
+owners AS (
+  SELECT v, count(DISTINCT coalesce('=' || source, '~')) AS n_owners, count(DISTINCT coalesce('=' || source, '~') || coalesce('/=' || lang, '/~')) AS n_repos FROM counted GROUP BY v),
+judged AS (
+  SELECT c.*, n_owners <= 2 AND n_repos <= 4 AS owned,
+         EXISTS (SELECT 1 FROM counted b WHERE b.rid = c.rid AND b.kind < 3 AND b.start < c.stop AND c.start < b.stop) AS covered
+  FROM counted c JOIN owners USING (v)),
+kept AS (
+  SELECT rid, kind, start, owned, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS span FROM judged WHERE kind < 3 OR (owned AND NOT covered))
+SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans,
+       count(*) FILTER (WHERE owned) AS n_owned, count(*) FILTER (WHERE NOT owned) AS n_shared
+FROM texts LEFT JOIN kept USING (rid) GROUP BY rid, doc_id
 """,
     "op4_line_dedup": r"""
 WITH split AS (

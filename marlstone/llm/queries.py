@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import edit_prints, line_dedup, mixing, ngram_join, packing, quality, rans, token_counts, windows
+from marlstone.llm import edit_prints, line_dedup, mixing, ngram_join, packing, quality, rans, secrets, token_counts, windows
 from marlstone.llm.common import documents
 from marlstone.llm.oracle import SQL
 
@@ -22,6 +22,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken", "source", "copies")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    first = ["doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans")]
+    return found.select(*first, "n_owned", "n_shared")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
