@@ -1,7 +1,8 @@
 """Ids of whole texts by the tokenizers library, asked once for each distinct word.
 
-The word vocabulary's normaliser and splitter never look across white space, so a text's ids are the ids of its words
-in a row. Words are told apart by hash; the library encodes those not seen before, and the ids of all texts are then
+The word vocabulary's normaliser and splitter never look across white space, and part a full stop or comma from a letter
+or digit before it, so a text's ids are the ids of such words in a row. The vocabulary has lower case only, so words that
+differ in the case of A-Z are one, unless a special string may be near. Words are told apart by hash; the library encodes those not seen before, and the ids of all texts are then
 gathered by numpy. Memory is bounded: words are remembered up to a limit and then forgotten all at once, and texts
 are taken in groups of limited length.
 """
@@ -12,7 +13,7 @@ import os
 
 import numpy as np
 
-from marlstone.llm.wordhash import Memo, Words
+from marlstone.llm.wordhash import Memo, Words, mix
 
 REMEMBERED = 1_500_000
 
@@ -23,12 +24,22 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_symbols() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next free one from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 class WordEncoder:
+    """For vocabularies of this kind: normal form C, white space dropped, lower case, byte-level pairs."""
+
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.remembered = Tokenizer.from_file(path), remembered
+        self.shown = dict(enumerate(byte_symbols()))
         self.forget()
 
     def forget(self) -> None:
@@ -36,12 +47,32 @@ class WordEncoder:
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 18, np.uint32), 0
 
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in a row, and how many each has.
+
+        A word of letters below U+0100 is in normal form and is one pre-token, so the library's model can be asked at
+        once, with its letters in lower case and its bytes as the vocabulary writes them. Others go all the way.
+        """
+        coded: list[list[int] | None] = []
+        others: list[str] = []
+        ask = self.library.model.tokenize
+        for w in words:
+            if w.isalpha() and (w.isascii() or max(w) < "\u0100"):
+                w = w.lower()
+                coded.append([t.id for t in ask(w if w.isascii() else w.encode().decode("latin-1").translate(self.shown))])
+            else:
+                coded.append(None)
+                others.append(w)
+        if others:
+            e = self.library.encode(others, is_pretokenized=True, add_special_tokens=False)
+            cuts = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(others) + 1)).tolist()
+            ids, rest = e.ids, iter(zip(cuts, cuts[1:]))
+            coded = [c if c is not None else ids[slice(*next(rest))] for c in coded]
+        length = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter((i for c in coded for i in c), np.uint32, int(length.sum())), length
+
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """One call for all new words: each is a word of its own to the library."""
-        coded = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(coded.ids, np.uint32)
-        of = np.array(coded.word_ids, np.int64)
-        length = np.bincount(of, minlength=len(words))
+        ids, length = self.ids_of(words)
         n, m = self.memo.n, self.memo.n + len(words)
         while m > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
@@ -56,13 +87,16 @@ class WordEncoder:
         """The ids of all texts in a row, end_id after each, and how many each text has, that one included."""
         if self.memo.n > self.remembered:
             self.forget()
-        w = Words(data, bounds)
+        raw = data.tobytes()
+        special = b"<|" in raw
+        w = Words(data, bounds, lower=not special, marks=not special)
+        if special:
+            w.hash = mix(w.hash)
         at = self.memo.find(w.hash)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new, first = np.unique(w.hash[missing], return_index=True)
             first = missing[first]
-            raw = data.tobytes()
             self.learn(new, [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first].tolist(), w.end[first].tolist())])
             at[missing] = self.memo.find(w.hash[missing])
         # One more word behind each text: the end id, kept behind all ids.

@@ -40,7 +40,7 @@ BITS = 20
 LANES = 64
 EVERY = 256
 BLOCK_TOKENS = 1 << 16
-GROUP_TOKENS = 1 << 21
+GROUP_TOKENS = 1 << 20
 PART_TOKENS = 1 << 23
 LOW = np.uint64(1 << 31)
 END_ID = 2
@@ -277,16 +277,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     for r in table:
         freq[r["id"]] = r["freq"]
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    # A row for each part, so the running sum and the joined side grow with the number of tasks only.
+    # A row for each part, that is for PART_TOKENS ids, so the running sum and the broadcast stay small: 16 bytes for 16 MB.
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    placed = blocks.join(parts, "part").select((F.col("ahead") + F.col("before")).alias("start"), "payload")
+    placed = blocks.join(F.broadcast(parts), "part").select((F.col("ahead") + F.col("before")).alias("start"), "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 32):
-                some = batch.slice(lo, 32)
+            for lo in range(0, batch.num_rows, 16):
+                some = batch.slice(lo, 16)
                 heads, index, coded = [], [], []
                 for payload in some.column(1).to_pylist():
                     n, size = struct.unpack_from("<II", payload)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import fresh, text_of
+from marlstone.llm.encoder import byte_symbols
 from marlstone.llm.wordhash import IS_WORD, U64, Memo, Words, mix, text_groups
 
 REMEMBERED = 2_000_000
@@ -37,13 +38,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def byte_symbols() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next free one from U+0100."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
-
-
 class Merger:
     """Lengths of byte strings after all merges of a byte-level vocabulary."""
 

@@ -25,6 +25,8 @@ _BASE = int(_rng.integers(1 << 40, 1 << 62)) * 8 + 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+IS_ALNUM = np.zeros(256, bool)
+IS_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _powers = {_BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
 
 
@@ -66,7 +68,8 @@ def text_groups(batches: Iterable[pa.RecordBatch], text: str, limit: int = GROUP
 class Words:
     """The words of a group of texts: where they start and end in its bytes, how many each text has, and their hashes."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, marks: bool = False):
+        """lower: A-Z hash as a-z. marks: a full stop or comma behind a letter or digit is a word of its own."""
         inside = IS_WORD[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
@@ -77,6 +80,8 @@ class Words:
         begins[cuts] = inside[cuts]
         ends[cuts - 1] = inside[cuts - 1]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        if marks and len(self.start):
+            self._part_marks(data)
         self.bounds = np.searchsorted(self.start, bounds)
         self.counts = np.diff(self.bounds)
         n = len(data)
@@ -85,6 +90,15 @@ class Words:
         raw = (sums[self.end] - sums[self.start]) * powers(_INVERSE, max(n, 1))[self.start]
         self.hash = mix(raw + (self.end - self.start).astype(U64))
 
+    def _part_marks(self, data: np.ndarray) -> None:
+        """Letters and digits: ASCII ones, and those of U+00C0 to U+00FF."""
+        last = np.where(self.end - self.start >= 2, self.end - 1, 0)
+        before, two_before = data[last - 1], data[last - 2]
+        latin = (two_before == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (last - self.start >= 2)
+        apart = last[(last > 0) & ((data[last] == 46) | (data[last] == 44)) & (IS_ALNUM[before] | latin)]
+        self.start = np.insert(self.start, np.searchsorted(self.start, apart), apart)
+        self.end = np.insert(self.end, np.searchsorted(self.end, apart), apart)
+
     def texts(self) -> np.ndarray:
         """The number of the text that each word is in."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
