@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm import bitfilter
 from marlstone.llm.common import checkpoint_root, materialise, text_of
 from marlstone.llm.components import components, forest
 from marlstone.llm.wordhash import U64, Words, mix, text_groups
@@ -39,7 +40,7 @@ from marlstone.llm.wordhash import U64, Words, mix, text_groups
 WORDS, PERCENT = 3, 90
 CHUNK_SIGNATURES = 1_000_000
 BLOCK = 2048
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 24
 _K = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
 
 
@@ -283,34 +284,17 @@ def tile_edges(posted: DataFrame, reducers: int) -> DataFrame:
     return posted.select("r", "x", "y", "z").repartition(reducers, "r").mapInArrow(run, "a long, b long")
 
 
-def class_filter(labels: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, whatever the input: which hashes may be among the candidates' classes. A join decides."""
-    size = FILTER_BITS // 8
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = np.zeros(size, np.uint8)
-        for batch in batches:
-            at = np.asarray(batch.column(0)).view(U64) % U64(FILTER_BITS)
-            np.bitwise_or.at(grid, (at >> U64(3)).astype(np.int64), (1 << (at & U64(7)).astype(np.int64)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([grid.tobytes()], pa.binary())], ["bits"])
-
-    grid = np.zeros(size, np.uint8)
-    for r in labels.select("node").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
-        grid |= np.frombuffer(r["bits"], np.uint8)
-    return grid
-
-
-def class_sets(docs: DataFrame, text: str, words: int, grid: np.ndarray) -> DataFrame:
+def class_sets(docs: DataFrame, text: str, words: int, grid) -> DataFrame:
     """(node, s): the arrays of the classes that the filter lets through, once for each task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, data, bounds in text_groups(batches, "body"):
             names, arrays = [], []
-            for s in shingle_sets(data, bounds, words):
-                h = set_hash(s)
-                at = h % FILTER_BITS
-                if len(s) and grid[at >> 3] >> (at & 7) & 1 and h not in seen:
+            sets = shingle_sets(data, bounds, words)
+            hashes = [set_hash(s) for s in sets]
+            for s, h, may in zip(sets, hashes, bitfilter.may_have(grid.value, np.array(hashes, U64)).tolist()):
+                if len(s) and may and h not in seen:
                     seen.add(h)
                     names.append(h)
                     arrays.append(s.tobytes())
@@ -387,7 +371,8 @@ def resolve(docs: DataFrame, text: str, named: DataFrame, candidates: DataFrame,
     # A list for each block of the tasks it takes part in; one task for all but the largest groups.
     sides = sides.groupBy("root", "blk").agg(F.collect_list(F.struct("i", "j")).alias("tasks"))
 
-    arrays = class_sets(docs, text, words, class_filter(candidates))
+    grid = docs.sparkSession.sparkContext.broadcast(bitfilter.build(candidates, "node", FILTER_BITS))
+    arrays = class_sets(docs, text, words, grid)
     placed = arrays.join(dealt.join(sides, ["root", "blk"]).select("node", "root", "blk", "tasks"), "node")
     placed = placed.select("root", F.explode("tasks").alias("t"), "blk", "node", "s").select("root", "t.i", "t.j", "blk", "node", "s")
     placed = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from marlstone.llm import bitfilter
 from marlstone.llm.common import text_of
 from marlstone.llm.wordhash import _BASE, _INVERSE, U64, Words, mix, powers, text_groups
 
@@ -86,83 +87,71 @@ def repeated_least(slim: DataFrame, size: int) -> DataFrame:
     return seen.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h")
 
 
-def filter_slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = (h % U64(bits)).astype(np.int64), ((h >> U64(32)) * U64(0x9E3779B97F4A7C15) % U64(bits)).astype(np.int64)
-    return a, b
+DEALT = "r int, id binary, tk binary, many binary, first binary, hash binary"
+RANGES = "id long, tk long, start int, end int"
 
 
-def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Two bits for each hash in a grid whose size doesn't depend on the input."""
+def later(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Entries whose hash has an entry with a smaller id."""
+    order = np.lexsort((ids, hashes))
+    begins = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])[: len(order)]
+    least = ids[order][np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))] if len(order) else ids
+    out = np.empty(len(order), bool)
+    out[order] = ids[order] > least
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = np.zeros(bits, bool)
-        for batch in batches:
-            for at in filter_slots(np.asarray(batch.column(0)).view(U64), bits):
-                grid[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(grid).tobytes()], pa.binary())], ["bits"])
 
-    grid = np.zeros(bits // 8, np.uint8)
-    for r in hashes.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        grid |= np.frombuffer(r["bits"], np.uint8)
-    return grid
+def ranges(ids: np.ndarray, tks: np.ndarray, doc: np.ndarray, first: np.ndarray, size: int) -> pa.RecordBatch:
+    """The words under windows given by document and first word, in that order: a row for each run of neighbours."""
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)])[: len(doc)]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(doc))[: len(at)] - 1
+    columns = [ids[doc[at]], tks[doc[at]], first[at].astype(np.int32), (first[last] + size).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in RANGES.split(", ")])
 
 
-DEALT = "r int, id long, tk long, first binary, hash binary"
+def removed_ranges(slim: DataFrame, size: int) -> DataFrame:
+    """(id, tk, start, end): words of a document under windows that also start in a document with a smaller id.
 
-
-def removed_windows(slim: DataFrame, size: int) -> DataFrame:
-    """(id, tk, first): for a document, first words (int32) of windows that also start in a document with a smaller id."""
+    Entries are dealt by their least half window, which neighbouring windows mostly share: so a repeated passage comes
+    back as a few ranges, however many tasks there are.
+    """
     spark = slim.sparkSession
     reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grid = spark.sparkContext.broadcast(bit_filter(repeated_least(slim, size)))
+    grid = spark.sparkContext.broadcast(bitfilter.build(repeated_least(slim, size), "h", FILTER_BITS))
 
-    def documents(r: int, settled: bool, ids, tks, doc, first, hashes) -> pa.RecordBatch:
-        """A row for each document of entries sorted by document."""
+    def row(r: int, ids, tks, doc, first, hashes) -> pa.RecordBatch:
+        """One row for all entries that go from a chunk to a task, sorted by document."""
         start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        end = np.append(start[1:], len(doc))
-        blobs = [[x[a:b].tobytes() for a, b in zip(start, end)] for x in (first, hashes)]
-        if settled:
-            blobs[1] = [b""] * len(start)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), r), pa.int32()), pa.array(ids[doc[start]]), pa.array(tks[doc[start]]), *(pa.array(b, pa.binary()) for b in blobs)], ["r", "id", "tk", "first", "hash"])
-
-    def later(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Entries whose hash has an entry with a smaller id."""
-        order = np.lexsort((ids, hashes))
-        begins = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])[: len(order)]
-        least = ids[order][np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))]
-        out = np.empty(len(order), bool)
-        out[order] = ids[order] > least
-        return out
+        many = np.diff(np.append(start, len(doc))).astype(np.int32)
+        blobs = (ids[doc[start]], tks[doc[start]], many, first, hashes)
+        return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], [f.split()[0] for f in DEALT.split(", ")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, docs = [], 0, 0
+        held, count, docs, turn = [], 0, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, count, docs
-            if not count:
-                held, docs = [], 0
-                return
-            ids, tks, doc, first, hashes = (np.concatenate(x) for x in zip(*held))
-            gone = later(hashes, ids[doc])
-            to = ((hashes >> U64(40)) % U64(reducers)).astype(np.int64)
-            if gone.any():
-                # Already settled; they travel along, spread over the tasks.
-                yield documents(int(to[0]), True, ids, tks, doc[gone], first[gone], hashes[gone])
-            rest = np.flatnonzero(~gone)
-            rest = rest[np.argsort(to[rest], kind="stable")]
-            cuts = np.searchsorted(to[rest], np.arange(reducers + 1))
-            for r in range(reducers):
-                own = rest[cuts[r] : cuts[r + 1]]
-                if len(own):
-                    yield documents(r, False, ids, tks, doc[own], first[own], hashes[own])
-            held, count, docs = [], 0, 0
-
-        bits = grid.value
+            nonlocal held, count, docs, turn
+            if count:
+                ids, tks, doc, first, hashes, least = (np.concatenate(x) for x in zip(*held))
+                gone = later(hashes, ids[doc])
+                if gone.any():
+                    # Already settled; they travel along, to one task after the other, without hashes.
+                    yield row(turn % reducers, ids, tks, doc[gone], first[gone], hashes[:0])
+                to = ((least >> U64(8)) % U64(reducers)).astype(np.int64)
+                rest = np.flatnonzero(~gone)
+                rest = rest[np.argsort(to[rest], kind="stable")]
+                cuts = np.searchsorted(to[rest], np.arange(reducers + 1))
+                for r in range(reducers):
+                    own = rest[cuts[r] : cuts[r + 1]]
+                    if len(own):
+                        yield row(r, ids, tks, doc[own], first[own], hashes[own])
+            held, count, docs, turn = [], 0, 0, turn + 7
+
         for batch, data, bounds in text_groups(batches, "body"):
             win = Windows(data, bounds, size)
-            a, b = filter_slots(win.least, len(bits) * 8)
-            may = (bits[a >> 3] >> (7 - (a & 7)) & bits[b >> 3] >> (7 - (b & 7)) & 1).astype(bool)
-            held.append((np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64), win.text[may] + docs, win.first[may], win.hash[may]))
+            may = bitfilter.may_have(grid.value, win.least)
+            held.append((np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64), win.text[may] + docs, win.first[may], win.hash[may], win.least[may]))
             docs += batch.num_rows
             count += int(may.sum())
             if count >= CHUNK_WINDOWS:
@@ -170,27 +159,23 @@ def removed_windows(slim: DataFrame, size: int) -> DataFrame:
         yield from flush()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tks, firsts, hashes = [], [], [], []
+        parts: list[list[np.ndarray]] = []
+        docs = 0
         for batch in batches:
-            for i, t, f, h in zip(*(batch.column(c) for c in ("id", "tk", "first", "hash"))):
-                if len(h.as_buffer()) == 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()]), pa.array([t.as_py()]), pa.array([f.as_py()], pa.binary())], ["id", "tk", "first"])
+            for i in range(batch.num_rows):
+                ids, tks, many, first, hashes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("id", np.int64), ("tk", np.int64), ("many", np.int32), ("first", np.int32), ("hash", U64)))
+                doc = np.repeat(np.arange(len(ids)), many)
+                if len(hashes):
+                    parts.append([ids.copy(), tks.copy(), doc + docs, first.copy(), hashes.copy()])
+                    docs += len(ids)
                 else:
-                    ids.append(i.as_py())
-                    tks.append(t.as_py())
-                    firsts.append(np.frombuffer(f.as_buffer(), np.int32).copy())
-                    hashes.append(np.frombuffer(h.as_buffer(), U64).copy())
-        if not ids:
-            return
-        doc = np.repeat(np.arange(len(ids)), [len(f) for f in firsts])
-        gone = later(np.concatenate(hashes), np.array(ids, np.int64)[doc])
-        ends = np.cumsum([len(f) for f in firsts])
-        kept = [(k, f[g]) for k, (f, g) in enumerate(zip(firsts, np.split(gone, ends[:-1]))) if g.any()]
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k, _ in kept]), pa.array([tks[k] for k, _ in kept]), pa.array([f.tobytes() for _, f in kept], pa.binary())], ["id", "tk", "first"])
-
-    dealt = slim.mapInArrow(deal, DEALT).repartition(reducers, "r")
-    return dealt.mapInArrow(judge, "id long, tk long, first binary")
+                    yield ranges(ids, tks, doc, first, size)
+        if parts:
+            ids, tks, doc, first, hashes = (np.concatenate(x) for x in zip(*parts))
+            gone = later(hashes, ids[doc])
+            yield ranges(ids, tks, doc[gone], first[gone], size)
+
+    return slim.mapInArrow(deal, DEALT).repartition(reducers, "r").mapInArrow(judge, RANGES)
 
 
 def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -200,33 +185,30 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     body = text_of(text)
     key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(body).alias("tk")]
     slim = docs.select(*key, body.alias("body"))
-    removed = removed_windows(slim, size).groupBy("id", "tk").agg(F.collect_list("first").alias("firsts"))
+    removed = removed_ranges(slim, size).groupBy("id", "tk").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone"))
     row = docs.select(*key, body.alias("body"), F.struct(*rest).alias("row"))
-    joined = row.join(removed, ["id", "tk"], "left").select("row", "body", "firsts")
+    joined = row.join(removed, ["id", "tk"], "left").select("row", "body", "gone")
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             n_words, n_removed, intervals, kept = [], [], [], []
-            for whole, firsts in zip(batch.column(1), batch.column(2)):
+            for whole, gone in zip(batch.column(1), batch.column(2)):
                 words = whole.as_buffer().to_pybytes().split()
-                ranges = []
-                gone = 0
-                if firsts.is_valid:
-                    first = np.unique(np.concatenate([np.frombuffer(f.as_buffer(), np.int32) for f in firsts.values]))
-                    new = np.flatnonzero(np.concatenate([[True], np.diff(first) > size]))
-                    begins, ends = first[new], first[np.append(new[1:], len(first)) - 1] + size
-                    mask = np.ones(len(words), bool)
-                    for a, b in zip(begins.tolist(), ends.tolist()):
-                        ranges.append({"start": a, "end": b})
+                n, ranges_, out = len(words), [], 0
+                if gone.is_valid:
+                    spans = gone.values.flatten()
+                    starts, ends = (np.asarray(x, np.int64) for x in spans)
+                    reach = np.maximum.accumulate(ends)
+                    new = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
+                    mask = np.ones(n, bool)
+                    for a, b in zip(starts[new].tolist(), reach[np.append(new[1:], len(starts)) - 1].tolist()):
+                        ranges_.append({"start": a, "end": b})
                         mask[a:b] = False
-                    gone = len(words) - int(mask.sum())
-                    n = len(words)
+                        out += b - a
                     words = list(compress(words, mask.tolist()))
-                else:
-                    n = len(words)
                 n_words.append(n)
-                n_removed.append(gone)
-                intervals.append(ranges)
+                n_removed.append(out)
+                intervals.append(ranges_)
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(intervals, span), pa.array(kept, pa.string())], ["row", *results])
 
