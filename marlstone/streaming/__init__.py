@@ -1,0 +1 @@
+"""Nothing yet: statements run over finished tables, and there are no streams in the language."""
