@@ -69,8 +69,11 @@ def plan_copies(
 ) -> DataFrame:
     """docs with size, source_size, target and copies (all of the document: 0 to max_repeat)."""
     results = ("size", "source_size", "target", "copies")
+    # Columns one by one under names of our own: those that aren't asked for, the text often, are never shuffled.
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     sized = docs.select(
-        F.struct(*docs.columns).alias("doc"),
+        *(F.col(c).alias(n) for c, n in own.items()),
+        F.xxhash64(text_of(text)).alias("tie"),
         source_key(F.col(source)).alias("skey"),
         count_words(text_of(text)).alias("size"),
         F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("digest"),
@@ -85,11 +88,11 @@ def plan_copies(
     starts = counts.withColumn("before_bucket", F.coalesce(F.sum("n").over(in_size), F.lit(0))).drop("n")
     starts = starts.join(by_size, ["skey", "size"]).withColumn("start", F.col("before_size") + F.col("before_bucket")).drop("before_size", "before_bucket")
 
-    inside = Window.partitionBy("skey", "size", "bucket").orderBy("digest", F.xxhash64(text_of(F.col("doc")[text])))
+    inside = Window.partitionBy("skey", "size", "bucket").orderBy("digest", "tie")
     ranked = sized.join(starts, ["skey", "size", "bucket"]).withColumn("k", F.col("start") + F.row_number().over(inside))
     crossed = lambda k: F.floor(F.coalesce(k * F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)) + offset(F.col("skey"), seed))
     copies = crossed(F.col("k")) - crossed(F.col("k") - 1)
-    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in results]
+    kept = [F.col(n).alias(c) for c, n in own.items() if c.lower() not in results]
     return ranked.select(*kept, "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"))
 
 
