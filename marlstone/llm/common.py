@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ def count_words(text: Column) -> Column:
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one of our own (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
     if not root:
         root = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -57,3 +62,35 @@ def fresh(prefix: str, taken: list[str]) -> str:
     while name.lower() in low:
         name = f"_{name}"
     return name
+
+
+def kept_where(df: DataFrame, condition: str) -> DataFrame:
+    """df.filter(condition) for conditions on columns that cost much to compute.
+
+    The optimiser moves a filter below the projection that computes its columns, by putting their expressions in their
+    place; an array that a lambda then names is computed again for each element. It doesn't move one across a column
+    that differs from row to row.
+    """
+    still = fresh("still", df.columns)
+    return df.withColumn(still, F.monotonically_increasing_id()).filter(f"({condition}) AND {still} >= 0").drop(still)
+
+
+def shipped(function, *broadcasts):
+    """A function for mapInArrow that also works where workers don't find this package by themselves.
+
+    They find it if it was sent along with the job or is on their path; otherwise they look where the driver has it.
+    Broadcast variables that the function uses are named, so that Spark sends them with it.
+    """
+    payload, root = cloudpickle.dumps(function), str(Path(__file__).resolve().parents[2])
+
+    def run(batches):
+        import importlib.util
+        import pickle
+        import sys
+
+        if importlib.util.find_spec("marlstone") is None:
+            sys.path.append(root)
+        yield from pickle.loads(payload)(batches)
+
+    run.needs = broadcasts
+    return run

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import WHITE, materialise, text_of
+from marlstone.llm.common import WHITE, kept_where, materialise, text_of
 
 MIN_LINES = 3
 RANGES = 4096
@@ -120,5 +120,5 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 def drop_copied(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """docs with the text cut; documents of which no line is left, though they had some, go."""
     held = docs.select(F.col(doc_id).alias("line_id"), F.col(text).alias("line_text"), F.struct(*(c for c in docs.columns if c != text), F.lit(0).alias("_")).alias("held"))
-    left = dedup_lines(held, "line_id", "line_text", min_lines).filter("n_removed = 0 OR n_removed < n_lines")
+    left = kept_where(dedup_lines(held, "line_id", "line_text", min_lines), "n_removed = 0 OR n_removed < n_lines")
     return left.select(*(F.col("line_text").alias(c) if c == text else F.col("held")[c].alias(c) for c in docs.columns))

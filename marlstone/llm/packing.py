@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_of
+from marlstone.llm.common import shipped, text_of
 from marlstone.llm.encoder import default_path, encoder
 from marlstone.llm.wordhash import text_groups
 
@@ -62,7 +62,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, path: s
             blob = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, edges, pa.py_buffer(ids.astype("<u4").tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *map(pa.array, (start, length, n[doc], number, np.zeros(len(doc), np.int64))), blob], [f.split()[0] for f in PIECES.split(", ")])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body")).mapInArrow(run, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body")).mapInArrow(shipped(run), PIECES)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fresh, text_of, words_of
+from marlstone.llm.common import fresh, kept_where, text_of, words_of
 
 # Frequent function words of English, German, French and Spanish, in lower case.
 STOP_WORDS = (
@@ -131,4 +131,4 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHO
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     held = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("doc_text"))
-    return judge(held, "doc_text", rules).filter("kept").select("doc.*")
+    return kept_where(judge(held, "doc_text", rules).select("doc", "kept"), "kept").select("doc.*")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import checkpoint_root, text_of
+from marlstone.llm.common import checkpoint_root, shipped, text_of
 from marlstone.llm.encoder import default_path, encoder
 from marlstone.llm.wordhash import text_groups
 
@@ -185,7 +185,7 @@ def token_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges), raw]).cast(pa.binary())], ["doc_id", "ids"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    return slim.mapInArrow(run, "doc_id long, ids binary")
+    return slim.mapInArrow(shipped(run), "doc_id long, ids binary")
 
 
 def width_of(path: str, end_id: int) -> int:
@@ -212,7 +212,7 @@ def frequencies(ids: DataFrame, width: int, doc: str = "ids") -> DataFrame:
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["id", "n"])
 
-    return ids.select(doc).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select(doc).mapInArrow(shipped(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 BLOCKS = "part int, seq int, before long, n_tokens long, payload binary"
@@ -267,7 +267,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
         yield from flush()
 
     ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(run, BLOCKS).write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(shipped(run), BLOCKS).write.parquet(f"{folder}/blocks")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,7 +299,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     blob = pa.Array.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(edges * 4), pa.py_buffer(raw)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array([None if d[0] else d[1] for d in docs], pa.int64()), pa.array(start + edges[:-1]), blob], ["doc_id", "start", "ids"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
+    return placed.mapInArrow(shipped(run), "doc_id long, start long, ids binary")
 
 
 def round_trip(docs: DataFrame, **how) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fresh, text_of
+from marlstone.llm.common import fresh, shipped, text_of
 from marlstone.llm.encoder import byte_symbols
 from marlstone.llm.wordhash import IS_WORD, U64, Memo, Words, mix, text_groups
 
@@ -227,4 +227,4 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, l
             kept_columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != body]
             yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(np.diff(bounds)), pa.array(tokens.count(data, bounds))], [*kept, "n_bytes", "n_tokens"])
 
-    return slim.mapInArrow(run, out).withColumn("over_limit", F.col("n_tokens") > limit)
+    return slim.mapInArrow(shipped(run), out).withColumn("over_limit", F.col("n_tokens") > limit)
