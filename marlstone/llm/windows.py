@@ -22,17 +22,19 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from marlstone.llm import bitfilter
-from marlstone.llm.common import text_of
+from marlstone.llm.common import shipped, text_of
 from marlstone.llm.wordhash import _BASE, _INVERSE, U64, Words, mix, powers, text_groups
 
 WINDOW = 50
 FILTER_BITS = 1 << 25
 CHUNK_WINDOWS = 1_000_000
+SETTLED_ROW = 4096
 LAST = np.iinfo(np.int64).max
 
 
@@ -83,7 +85,7 @@ def repeated_least(slim: DataFrame, size: int) -> DataFrame:
             last = np.append(first[1:], len(h)) - 1
             yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ids[first]), pa.array(ids[last])], ["h", "low", "high"])
 
-    seen = slim.mapInArrow(run, "h long, low long, high long")
+    seen = slim.mapInArrow(shipped(run), "h long, low long, high long")
     return seen.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h")
 
 
@@ -128,16 +130,19 @@ def removed_ranges(slim: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], [f.split()[0] for f in DEALT.split(", ")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, docs, turn = [], 0, 0, 0
+        held, count, docs = [], 0, 0
+        turn = TaskContext.get().partitionId() * 7
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, count, docs, turn
             if count:
                 ids, tks, doc, first, hashes, least = (np.concatenate(x) for x in zip(*held))
                 gone = later(hashes, ids[doc])
-                if gone.any():
-                    # Already settled; they travel along, to one task after the other, without hashes.
-                    yield row(turn % reducers, ids, tks, doc[gone], first[gone], hashes[:0])
+                # Already settled ones travel along without hashes, a share to each of several tasks.
+                settled = np.flatnonzero(gone)
+                for part in np.array_split(settled, -(-len(settled) // SETTLED_ROW)) if len(settled) else ():
+                    yield row(turn % reducers, ids, tks, doc[part], first[part], hashes[:0])
+                    turn += 1
                 to = ((least >> U64(8)) % U64(reducers)).astype(np.int64)
                 rest = np.flatnonzero(~gone)
                 rest = rest[np.argsort(to[rest], kind="stable")]
@@ -146,7 +151,7 @@ def removed_ranges(slim: DataFrame, size: int) -> DataFrame:
                     own = rest[cuts[r] : cuts[r + 1]]
                     if len(own):
                         yield row(r, ids, tks, doc[own], first[own], hashes[own])
-            held, count, docs, turn = [], 0, 0, turn + 7
+            held, count, docs = [], 0, 0
 
         for batch, data, bounds in text_groups(batches, "body"):
             win = Windows(data, bounds, size)
@@ -175,7 +180,7 @@ def removed_ranges(slim: DataFrame, size: int) -> DataFrame:
             gone = later(hashes, ids[doc])
             yield ranges(ids, tks, doc[gone], first[gone], size)
 
-    return slim.mapInArrow(deal, DEALT).repartition(reducers, "r").mapInArrow(judge, RANGES)
+    return slim.mapInArrow(shipped(deal, grid), DEALT).repartitionById(reducers, F.col("r")).mapInArrow(shipped(judge), RANGES)
 
 
 def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -214,4 +219,4 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     schema = joined.select("row").schema.add("n_words", "long").add("n_removed", "long")
     schema = schema.add("intervals", ArrayType(StructType().add("start", "integer").add("end", "integer"))).add("kept", "string")
-    return joined.mapInArrow(apply, schema).select("row.*", *results)
+    return joined.mapInArrow(shipped(apply), schema).select("row.*", *results)
