@@ -31,7 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_of
+from marlstone.llm.common import materialise, shipped, text_of
+from marlstone.llm.components import components
 from marlstone.llm.wordhash import U64, mix
 
 PERIOD = 1 << 12
@@ -198,7 +199,7 @@ def print_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 )
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    return slim.mapInArrow(run, "doc_id long, n_chars long, fingerprint string, bands array<long>")
+    return slim.mapInArrow(shipped(run), "doc_id long, n_chars long, fingerprint string, bands array<long>")
 
 
 def _cuts(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -221,7 +222,7 @@ def range_ends(ids: DataFrame, parts: int) -> np.ndarray:
         if most:
             yield pa.RecordBatch.from_arrays([pa.array([max(most)], pa.int64())], ["high"])
 
-    return np.unique([r["high"] for r in ids.repartitionByRange(parts, "id").mapInArrow(run, "high long").collect()]).astype(np.int64)
+    return np.unique([r["high"] for r in ids.repartitionByRange(parts, "id").mapInArrow(shipped(run), "high long").collect()]).astype(np.int64)
 
 
 PRINTED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_bands_edited int, shared_bands_next int"
@@ -302,5 +303,40 @@ def print_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         if rows:
             yield from flush()
 
-    dealt = slim.mapInArrow(deal, "part int, carried boolean, id long, unnamed boolean, tie long, packed binary").repartition(parts, "part")
-    return dealt.sortWithinPartitions("part", F.desc("carried"), "id", "tie").mapInArrow(walk, PRINTED)
+    dealt = slim.mapInArrow(shipped(deal), "part int, carried boolean, id long, unnamed boolean, tie long, packed binary").repartitionById(parts, F.col("part"))
+    return dealt.sortWithinPartitions("part", F.desc("carried"), "id", "tie").mapInArrow(shipped(walk), PRINTED)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
+    """(doc_id, n_chars, class_id): class_id is the smallest id of a document's near copies, itself included.
+
+    Documents that share a band meet its first document; their whole fingerprints decide, with a likeness of at least
+    `least`. Only that one comparison is made for each band and document, so a band that a third of all documents share
+    costs no more than other rows; a document has some forty bands, so near copies meet through many firsts. Documents
+    with equal fingerprints are one from the start. Rows with a null id are left out, as they could not be named.
+    """
+    prints = materialise(print_documents(docs, doc_id, text).filter("doc_id IS NOT NULL"), "prints")
+    # One document stands for all of an equal fingerprint.
+    alike = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("a"))
+    stands = materialise(prints.join(alike, "fingerprint").select("doc_id", "n_chars", "fingerprint", "bands", "a"), "classes")
+    firsts = stands.filter("doc_id = a").dropDuplicates(["a"])
+    banded = firsts.select("a", F.explode(F.array_distinct("bands")).alias("band"))
+    first = banded.groupBy("band").agg(F.min("a").alias("b"))
+    pairs = banded.join(first, "band").filter("a != b").select("a", "b").distinct()
+    shown = firsts.select(F.col("a").alias("node"), F.col("fingerprint").alias("print"))
+    both = pairs.join(shown.toDF("a", "print_a"), "a").join(shown.toDF("b", "print_b"), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            near = [likeness(parsed(p), parsed(q)) >= least for p, q in zip(*columns[2:])]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    edges = both.select("a", "b", "print_a", "print_b").mapInArrow(shipped(verify), "a long, b long")
+    roots = components(edges).select(F.col("node").alias("a"), "root")
+    return stands.join(roots, "a", "left").select("doc_id", "n_chars", F.coalesce("root", "a").alias("class_id"))
+
+
+def parsed(text: str) -> Print:
+    """A fingerprint from its text."""
+    return tuple(np.frombuffer(x.encode(), np.uint8) for x in text.split("-")) if text else (HEX[:0],) * WALKS

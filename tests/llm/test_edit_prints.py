@@ -26,10 +26,6 @@ def slow_print(text):
     return "-".join(samples) if text else ""
 
 
-def parsed(text):
-    return tuple(np.frombuffer(x.encode(), np.uint8) for x in text.split("-")) if text else (np.zeros(0, np.uint8),) * ep.WALKS
-
-
 def texts_of(seed, n, longest):
     rng = random.Random(seed)
     return ["".join(rng.choice(string.ascii_lowercase + "  é\U0001f389") for _ in range(rng.randrange(longest))) for _ in range(n)]
@@ -66,7 +62,7 @@ def brute(rows):
         t, after = t or "", rows[i - 1][1] or ""
         k = len(t) // 3
         e = t[: len(t) - k] + after[:k]
-        prints = [parsed(slow_print(x)) for x in (t, e, after)]
+        prints = [ep.parsed(slow_print(x)) for x in (t, e, after)]
         near = [round(ep.likeness(prints[0], p), 9) for p in prints[1:]]
         out.append((str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), slow_print(t), slow_print(e), *near))
     return sorted(out)
@@ -94,3 +90,19 @@ def test_plain_prints(spark):
     got = {r["doc_id"]: r for r in ep.print_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["fingerprint"] == got[2]["fingerprint"] == slow_print("some text") and got[1]["bands"] == got[2]["bands"]
     assert got[3]["fingerprint"] == "" and got[3]["bands"] == []
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(6)
+    rows, group = [], {}
+    for g in range(12):
+        base = texts_of(100 + g, 1, 3000)[0] + "filled up " * 30
+        for _ in range(rng.randrange(1, 6)):
+            copy = list(base)
+            if rng.random() < 0.7:
+                copy[rng.randrange(len(copy) * 2 // 3, len(copy))] = "Q"
+            group[len(rows)] = g
+            rows.append((len(rows), "".join(copy)))
+    got = {r["doc_id"]: r["class_id"] for r in ep.near_duplicates(spark.createDataFrame([*rows, (None, "x"), (900, None), (901, "")], "doc_id long, text string")).collect()}
+    want = {d: min(e for e in group if group[e] == g) for d, g in group.items()}
+    assert {d: got[d] for d in want} == want and got[900] == got[901] == 900 and None not in got
