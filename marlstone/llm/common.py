@@ -47,11 +47,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut, and a lost executor costs no recomputation."""
+def materialise(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage is cut, and a lost executor costs no recomputation.
+
+    few_files: for narrow tables that are written again and again, no more tasks and files than four for each core.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/marlstone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few_files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,14 +17,14 @@ from marlstone.llm.common import materialise
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node that edges lead to. Order is that of long."""
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-    now = materialise(now, "edges")
+    now = materialise(now, "edges", few_files=True)
     while True:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
-        after = materialise(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        after = materialise(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", few_files=True)
         if _mark(after) == _mark(now):
             roots = after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -2,9 +2,10 @@
 
 A document is the sorted array of the 64-bit hashes of its distinct shingles. Documents with equal arrays are one
 class. Classes are banded by size, so that a class links only within its band or with a neighbouring one. Inside a
-band the hash range is cut into more parts than two linked sets can have differing shingles: of two linked sets at
-least one part is equal in both, whatever the data. A tile is (band, part, content of the part); sharing a tile makes
-candidates, and none is lost. Tiles are met by hash, map-side combined: of the classes that share a tile in one chunk
+band the hash range is cut into more parts than two linked sets can have differing shingles: of two linked sets some
+parts are equal in both, whatever the data. A tile is (band, part, content of the part); sharing a tile makes
+candidates, and none is lost. A set ignores a few of its parts that tell least, so that a passage which a third of all
+documents share doesn't make them candidates. Tiles are met by hash, map-side combined: of the classes that share a tile in one chunk
 only one goes on, with edges to the others, so the classes of a common tile never meet in one task.
 
 Candidates form groups (components of the tile edges). A group's arrays come to one task; larger groups are dealt into
@@ -33,29 +34,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import bitfilter
-from marlstone.llm.common import checkpoint_root, materialise, text_of
+from marlstone.llm.common import checkpoint_root, materialise, shipped, text_of
 from marlstone.llm.components import components, forest
 from marlstone.llm.wordhash import U64, Words, mix, text_groups
 
 WORDS, PERCENT = 3, 90
-CHUNK_SIGNATURES = 1_000_000
-BLOCK = 2048
+CHUNK_SIGNATURES = 600_000
+BLOCK, SMALL = 2048, 1000
 FILTER_BITS = 1 << 24
+HEAVY_SHARE, COUNTED = 0.0005, 1_000_000
 _K = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
 
 
 # -------------------------------------------------------------------------------------------- sets and signatures
 
 
+def _runs(w: Words, words: int) -> np.ndarray:
+    """The hash of the shingle that begins at each word, whether or not its text goes on that far."""
+    run = np.zeros(max(len(w.hash) - words + 1, 0), U64)
+    for j in range(words):
+        run += w.hash[j : j + len(run)] * U64(_factor(j))
+    return mix(run)
+
+
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """For each text its distinct shingles, hashed, in ascending order. A-Z count as a-z."""
     w = Words(data, bounds, lower=True)
-    h, out = w.hash, []
-    n = len(h)
-    run = np.zeros(max(n - words + 1, 0), U64)
-    for j in range(words):
-        run += h[j : j + len(run)] * U64(_factor(j))
-    run = mix(run)
+    h, run, out = w.hash, _runs(w, words), []
     for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist()):
         if b - a >= words:
             s = np.sort(run[a : b - words + 1])
@@ -72,7 +77,8 @@ def _factor(j: int) -> int:
 
 
 def set_hash(s: np.ndarray) -> int:
-    return int(mix(np.array([mix(s ^ U64(_K[3])).sum(dtype=U64) + U64(len(s)) * U64(_K[1])], U64))[0])
+    total = int(mix(s ^ U64(_K[3])).sum(dtype=U64)) + len(s) * _K[1]
+    return int(mix(np.array([total % (1 << 64)], U64))[0])
 
 
 @lru_cache
@@ -86,12 +92,12 @@ def band_edges(percent: int) -> tuple[int, ...]:
 
 @lru_cache(maxsize=None)
 def band_parts(band: int, percent: int) -> tuple[int, int, int]:
-    """Differing shingles that two linked sets can have if the larger is in the band; parts; empty parts that don't count."""
+    """Differing shingles that two linked sets can have if the larger is in the band; parts; parts that a set may ignore."""
     high = band_edges(percent)[band + 1] - 1
     # 100 i >= percent u with i = (a + b - d) / 2 and u = (a + b + d) / 2 gives d <= (a + b) (100 - percent) / (100 + percent).
     differing = 2 * high * (100 - percent) // (100 + percent)
-    spare = 1 if high >= 40 else 0
-    return differing, differing + 1 + spare, spare
+    ignored = (differing + 1) // 6 if high >= 40 else 0
+    return differing, differing + 1 + 2 * ignored, ignored
 
 
 @lru_cache(maxsize=4096)
@@ -99,25 +105,28 @@ def _thresholds(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(1, parts)], U64)
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int, heavy: np.ndarray | None = None) -> np.ndarray:
     """The tiles of a set: its parts' contents, for its own band and, as the smaller of two, for the next.
 
-    With one spare part, linked sets agree in two parts or more; one agreeing part may be empty, so a set with no
-    more empty parts than spare ones need not name them.
+    Linked sets agree in 2 x ignored + 1 parts or more. So each may ignore some of its own, whichever it likes, and one
+    is left that neither ignores. It ignores those that tell least: the ones with the fewest shingles that are not heavy,
+    such as empty parts and parts that hold nothing but words of a passage that very many documents have.
     """
     out = []
     home = bisect_right(band_edges(percent), len(s)) - 1
     sums = np.zeros(len(s) + 1, U64)
     np.cumsum(mix(s ^ U64(_K[4])), out=sums[1:])
+    light = np.arange(len(s) + 1) if heavy is None else np.concatenate([[0], np.cumsum(~bitfilter.may_have(heavy, s))])
     for band in (home, home + 1):
-        differing, parts, spare = band_parts(band, percent)
+        differing, parts, ignored = band_parts(band, percent)
         if differing == 0:
             continue
         cuts = np.concatenate([[0], np.searchsorted(s, _thresholds(parts)), [len(s)]])
-        content = sums[cuts[1:]] - sums[cuts[:-1]]
-        tile = mix(content + mix(np.arange(parts, dtype=U64) + U64(band << 32)))
-        empty = cuts[1:] == cuts[:-1]
-        out.append(tile if empty.sum() > spare else tile[~empty])
+        tile = mix(sums[cuts[1:]] - sums[cuts[:-1]] + mix(np.arange(parts, dtype=U64) + U64(band << 32)))
+        if ignored:
+            telling = (light[cuts[1:]] - light[cuts[:-1]]) * (len(s) + 1) + np.diff(cuts)
+            tile = tile[np.argsort(telling, kind="stable")[ignored:]]
+        out.append(tile)
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
@@ -186,11 +195,45 @@ def _signed(h) -> np.ndarray:
     return np.asarray(h, U64).view(np.int64)
 
 
+def heavy_shingles(docs: DataFrame, text: str, words: int, share: float = HEAVY_SHARE) -> np.ndarray:
+    """A bit filter of the shingles that at least about this share of all documents has.
+
+    There are no more such shingles than a document has, divided by the share, however many documents there are. Each
+    task counts all of its texts and sends the shingles that are frequent with it; Spark adds up. What is in the filter
+    decides which parts a set prefers to ignore, never which sets link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many, docs_held, size = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, many, docs_held, size
+            h, back = np.unique(np.concatenate(held), return_inverse=True)
+            n = np.bincount(back, np.concatenate(many), len(h)).astype(np.int64)
+            frequent = n >= max(3, docs_held * share / 2)
+            held, many, docs_held, size = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0, 0
+            return pa.RecordBatch.from_arrays([pa.array(h[frequent].view(np.int64)), pa.array(n[frequent])], ["h", "n"])
+
+        for batch, data, bounds in text_groups(batches, "body"):
+            h, n = np.unique(_runs(Words(data, bounds, lower=True), words), return_counts=True)
+            held.append(h)
+            many.append(n)
+            docs_held += batch.num_rows
+            size += len(h)
+            if size >= COUNTED:
+                yield flush()
+        yield flush()
+
+    slim = docs.select(text_of(text).alias("body"))
+    counts = slim.mapInArrow(shipped(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return bitfilter.build(counts.filter(F.col("n") >= max(8, docs.count() * share)), "h", FILTER_BITS // 2)
+
+
 PASS = "kind string, r int, x binary, y binary, z binary"
 
 
 def first_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, reducers: int) -> str:
-    """Reads each text once and writes, by kind: d (ids, sizes, classes), e (edges of tiles met in a chunk), p (one class for each tile and chunk, dealt by hash of the tile)."""
+    """Reads each text and writes, by kind: d (ids, sizes, classes), e (edges of tiles met in a chunk), p (one class for each tile and chunk, dealt by hash of the tile)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles: list[np.ndarray] = []
@@ -206,14 +249,18 @@ def first_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
             if not total:
                 return
             tile, node = np.concatenate(tiles), np.repeat(np.array(nodes, np.int64), [len(t) for t in tiles])
+            tiles, nodes, total = [], [], 0
             order = np.argsort(tile, kind="stable")
-            first = np.concatenate([[True], tile[order][1:] != tile[order][:-1]])
-            head = node[order][first][np.cumsum(first) - 1]
-            a, b = forest(*np.unique(np.stack([node[order][~first], head[~first]]), axis=1))
+            tile, node = tile[order], node[order]
+            first = np.concatenate([[True], tile[1:] != tile[:-1]])
+            head = node[first][np.cumsum(first) - 1]
+            a, b = forest(*np.unique(np.stack([node[~first], head[~first]]), axis=1))
             if len(a):
                 yield row("e", 0, a, b, a[:0])
             keep = np.sort(order[first])
-            tile, node = tile[keep], node[keep]
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            tile, node = tile[back[keep]], node[back[keep]]
             to = ((tile >> U64(40)) % U64(reducers)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[by], np.arange(reducers + 1))
@@ -223,7 +270,6 @@ def first_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
                     start = np.concatenate([[True], node[own][1:] != node[own][:-1]])
                     runs = np.diff(np.append(np.flatnonzero(start), len(own))).astype(np.int32)
                     yield row("p", r, tile[own], node[own][start], runs)
-            tiles, nodes, total = [], [], 0
 
         for batch, data, bounds in text_groups(batches, "body"):
             ids = batch.column(0)
@@ -236,7 +282,7 @@ def first_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
             for s, h in zip(sets, hashes):
                 if len(s) and h not in seen:
                     seen.add(h)
-                    own = signatures(s, percent)
+                    own = signatures(s, percent, heavy.value)
                     if len(own):
                         tiles.append(own)
                         nodes.append(h - (1 << 64) if h >> 63 else h)
@@ -247,8 +293,9 @@ def first_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
         yield from flush()
 
     folder = f"{checkpoint_root(docs.sparkSession)}/marlstone-ngram-{uuid.uuid4().hex}"
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, text, words))
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("body"))
-    slim.mapInArrow(run, PASS).write.partitionBy("kind").parquet(folder)
+    slim.mapInArrow(shipped(run, heavy), PASS).write.partitionBy("kind").parquet(folder)
     return folder
 
 
@@ -261,7 +308,7 @@ def _unpack(rows: DataFrame, schema: str, columns) -> DataFrame:
             for blobs in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "z"))):
                 yield pa.RecordBatch.from_arrays(columns(*(np.frombuffer(b, np.int64) if len(b) % 8 == 0 else b for b in blobs)), names)
 
-    return rows.select("x", "y", "z").mapInArrow(run, schema)
+    return rows.select("x", "y", "z").mapInArrow(shipped(run), schema)
 
 
 def tile_edges(posted: DataFrame, reducers: int) -> DataFrame:
@@ -281,7 +328,7 @@ def tile_edges(posted: DataFrame, reducers: int) -> DataFrame:
         a, b = forest(a[a != b], b[a != b])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return posted.select("r", "x", "y", "z").repartition(reducers, "r").mapInArrow(run, "a long, b long")
+    return posted.select("r", "x", "y", "z").repartitionById(reducers, F.col("r")).mapInArrow(shipped(run), "a long, b long")
 
 
 def class_sets(docs: DataFrame, text: str, words: int, grid) -> DataFrame:
@@ -300,7 +347,7 @@ def class_sets(docs: DataFrame, text: str, words: int, grid) -> DataFrame:
                     arrays.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(_signed(names)), pa.array(arrays, pa.binary())], ["node", "s"])
 
-    return docs.select(text_of(text).alias("body")).mapInArrow(run, "node long, s binary")
+    return docs.select(text_of(text).alias("body")).mapInArrow(shipped(run, grid), "node long, s binary")
 
 
 def verified(sets: DataFrame, percent: int) -> DataFrame:
@@ -331,7 +378,7 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
                 held[node] = (blk, np.frombuffer(s.as_buffer(), U64).copy())
         yield from settle()
 
-    return sets.select("root", "i", "j", "blk", "node", "s").mapInArrow(run, "a long, b long, split boolean")
+    return sets.select("root", "i", "j", "blk", "node", "s").mapInArrow(shipped(run), "a long, b long, split boolean")
 
 
 def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -344,7 +391,7 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     named = _unpack(parts.filter("kind = 'd'"), "doc_id long, n long, node long", lambda x, y, z: [pa.array(x, mask=y < 0), pa.array(np.where(y < 0, -1 - y, y)), pa.array(z)])
     met = _unpack(parts.filter("kind = 'e'"), "a long, b long", lambda x, y, _: [pa.array(x), pa.array(y)])
     candidates = components(met.union(tile_edges(parts.filter("kind = 'p'"), reducers)))
-    roots = resolve(docs, text, named, materialise(candidates, "candidates"), words, percent, block)
+    roots = resolve(docs, text, named, materialise(candidates, "candidates", few_files=True), words, percent, block)
 
     full = named.filter("n > 0").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -355,14 +402,16 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 def resolve(docs: DataFrame, text: str, named: DataFrame, candidates: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     """(node, root) of the true components, for classes that have a link."""
     sizes = candidates.join(named.select("node", "n").distinct(), "node")
-    # Blocks of a group by size: from counts for each size, and by hash among equal sizes.
-    counts = sizes.groupBy("root", "n").agg(F.count(F.lit(1)).alias("many"))
+    # Blocks of a group by size: from sums for each size, and by hash among equal sizes. A block has up to `block` small
+    # arrays, or as many values as that many arrays of SMALL.
+    weight = F.col("many") * F.greatest(F.lit(1.0), F.col("n") / SMALL)
+    counts = sizes.groupBy("root", "n").agg(F.count(F.lit(1)).alias("many")).withColumn("weight", weight)
     upward = Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("root", "n", "many", F.coalesce(F.sum("many").over(upward), F.lit(0)).alias("ahead"), F.sum("many").over(Window.partitionBy("root")).alias("all"))
+    counts = counts.select("root", "n", "weight", F.coalesce(F.sum("weight").over(upward), F.lit(0.0)).alias("ahead"), F.sum("weight").over(Window.partitionBy("root")).alias("all"))
     share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)
     # Block 0 is a whole group; the blocks of a larger one count from 1.
-    number = F.when(F.col("all") <= block, 0).otherwise(1 + F.floor((F.col("ahead") + share * F.col("many")) / block)).cast("int")
-    dealt = materialise(sizes.join(counts, ["root", "n"]).select("node", "root", "n", number.alias("blk")), "blocks")
+    number = F.when(F.col("all") <= block, 0).otherwise(1 + F.floor((F.col("ahead") + share * F.col("weight")) / block)).cast("int")
+    dealt = materialise(sizes.join(counts, ["root", "n"]).select("node", "root", "n", number.alias("blk")), "blocks", few_files=True)
     blocks = dealt.groupBy("root", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     l, r = blocks.alias("l"), blocks.alias("r")
     allowed = (F.col("l.root") == F.col("r.root")) & (F.col("l.blk") <= F.col("r.blk")) & (100 * F.col("l.high") >= percent * F.col("r.low"))

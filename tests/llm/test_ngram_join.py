@@ -89,10 +89,14 @@ def test_parts_never_lose_a_pair():
         for _ in range(20):
             pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 8, dtype=np.uint64))
             a = np.sort(rng.permutation(pool)[:n])
-            drop, add = rng.integers(0, n // 10 + 1), rng.integers(0, n // 10 + 1)
+            drop, add = rng.integers(0, n // 8 + 1), rng.integers(0, n // 8 + 1)
             b = np.sort(np.concatenate([rng.permutation(a)[drop:], rng.permutation(np.setdiff1d(pool, a))[:add]]))
             if len(b) and ngram_join.linked(ngram_join.overlap(a, b), len(a), len(b), 90) and len(np.setxor1d(a, b)):
                 assert np.intersect1d(ngram_join.signatures(a, 90), ngram_join.signatures(b, 90)).size
+                heavy = np.packbits(rng.random(1 << 15) < 0.3)
+                assert np.intersect1d(ngram_join.signatures(a, 90, heavy), ngram_join.signatures(b, 90, heavy)).size
+            if len(b) and ngram_join.linked(ngram_join.overlap(a, b), len(a), len(b), 80) and len(np.setxor1d(a, b)):
+                assert np.intersect1d(ngram_join.signatures(a, 80), ngram_join.signatures(b, 80)).size
 
 
 def test_keep_one(spark):
