@@ -223,7 +223,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     spark, path = docs.sparkSession, path or default_path()
     width = width_of(path, end_id)
     held = f"{folder}/ids"
-    token_ids(docs, doc_id, text, path, end_id).write.parquet(held)
+    token_ids(docs, doc_id, text, path, end_id).write.option("compression", "zstd").parquet(held)
     ids = spark.read.schema("doc_id long, ids binary").parquet(held)
     # As many rows as the vocabulary has entries, however large the corpus.
     counts = frequencies(ids, width).collect()
