@@ -23,18 +23,19 @@ the id and the text are read, so extra columns don't matter.
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import bitfilter
-from marlstone.llm.common import checkpoint_root, materialise, shipped, text_of
+from marlstone.llm.common import materialise, shipped, text_of
 from marlstone.llm.components import components, forest
 from marlstone.llm.wordhash import U64, Words, mix, text_groups
 
@@ -229,17 +230,21 @@ def heavy_shingles(docs: DataFrame, text: str, words: int, share: float = HEAVY_
     return bitfilter.build(counts.filter(F.col("n") >= max(8, docs.count() * share)), "h", FILTER_BITS // 2)
 
 
-PASS = "kind string, r int, x binary, y binary, z binary"
+PASS, MET = "kind string, r int, x binary, y binary, z binary", "kind string, x binary, y binary, z binary"
 
 
-def first_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, reducers: int) -> str:
-    """Reads each text and writes, by kind: d (ids, sizes, classes), e (edges of tiles met in a chunk), p (one class for each tile and chunk, dealt by hash of the tile)."""
+def tile_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, reducers: int) -> DataFrame:
+    """Reads each text and gives, by kind: d (ids, sizes, classes of documents) and e (classes that share a tile, as stars).
+
+    Of the classes of a chunk that share a tile one goes on, to the task that has the tile, with edges to the others; the
+    tasks make stars of what meets with them and hand the rest on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles: list[np.ndarray] = []
         nodes: list[int] = []
         seen: set[int] = set()
-        total = 0
+        total, turn = 0, TaskContext.get().partitionId() * 7
 
         def row(kind, r, *blobs):
             return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([r], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["kind", "r", "x", "y", "z"])
@@ -256,7 +261,7 @@ def first_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
             head = node[first][np.cumsum(first) - 1]
             a, b = forest(*np.unique(np.stack([node[~first], head[~first]]), axis=1))
             if len(a):
-                yield row("e", 0, a, b, a[:0])
+                yield row("e", turn % reducers, a, b, a[:0])
             keep = np.sort(order[first])
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
@@ -278,7 +283,8 @@ def first_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
             sizes = np.array([len(s) for s in sets], np.int64)
             known = np.asarray(ids.is_valid())
             # Null ids are told by the sign of the size.
-            yield row("d", 0, np.asarray(ids.fill_null(0), np.int64), np.where(known, sizes, -1 - sizes), _signed(hashes))
+            turn += 1
+            yield row("d", turn % reducers, np.asarray(ids.fill_null(0), np.int64), np.where(known, sizes, -1 - sizes), _signed(hashes))
             for s, h in zip(sets, hashes):
                 if len(s) and h not in seen:
                     seen.add(h)
@@ -292,11 +298,31 @@ def first_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
                 seen.clear()
         yield from flush()
 
-    folder = f"{checkpoint_root(docs.sparkSession)}/marlstone-ngram-{uuid.uuid4().hex}"
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles, nodes = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            posted = pa.compute.equal(batch.column("kind"), "p")
+            yield batch.select(["kind", "x", "y", "z"]).filter(pa.compute.invert(posted))
+            mine = batch.filter(posted)
+            for x, y, z in zip(*(mine.column(c).to_pylist() for c in ("x", "y", "z"))):
+                tiles.append(np.frombuffer(x, U64))
+                nodes.append(np.repeat(np.frombuffer(y, np.int64), np.frombuffer(z, np.int32)))
+        tile, node = np.concatenate(tiles), np.concatenate(nodes)
+        tiles.clear(), nodes.clear()
+        if not len(tile):
+            return
+        order = np.argsort(tile, kind="stable")
+        tile, node = tile[order], node[order]
+        first = np.concatenate([[True], tile[1:] != tile[:-1]])
+        head = node[first][np.cumsum(first) - 1]
+        a, b = node[~first], head[~first]
+        a, b = forest(a[a != b], b[a != b])
+        yield pa.RecordBatch.from_arrays([pa.array(["e"]), *(pa.array([v.tobytes()], pa.binary()) for v in (a, b, a[:0]))], ["kind", "x", "y", "z"])
+
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, text, words))
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("body"))
-    slim.mapInArrow(shipped(run, heavy), PASS).write.partitionBy("kind").parquet(folder)
-    return folder
+    dealt = slim.mapInArrow(shipped(run, heavy), PASS).repartitionById(reducers, F.col("r"))
+    return materialise(dealt.mapInArrow(shipped(meet), MET), "tiles")
 
 
 def _unpack(rows: DataFrame, schema: str, columns) -> DataFrame:
@@ -311,26 +337,6 @@ def _unpack(rows: DataFrame, schema: str, columns) -> DataFrame:
     return rows.select("x", "y", "z").mapInArrow(shipped(run), schema)
 
 
-def tile_edges(posted: DataFrame, reducers: int) -> DataFrame:
-    """(a, b): classes that share a tile, a star for each component within a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles, nodes = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            for x, y, z in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "z"))):
-                tiles.append(np.frombuffer(x, U64))
-                nodes.append(np.repeat(np.frombuffer(y, np.int64), np.frombuffer(z, np.int32)))
-        tile, node = np.concatenate(tiles), np.concatenate(nodes)
-        order = np.argsort(tile, kind="stable")
-        first = np.concatenate([[True], tile[order][1:] != tile[order][:-1]])[: len(tile)]
-        head = node[order][first][np.cumsum(first) - 1] if len(tile) else node
-        a, b = node[order][~first], head[~first]
-        a, b = forest(a[a != b], b[a != b])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return posted.select("r", "x", "y", "z").repartitionById(reducers, F.col("r")).mapInArrow(shipped(run), "a long, b long")
-
-
 def class_sets(docs: DataFrame, text: str, words: int, grid) -> DataFrame:
     """(node, s): the arrays of the classes that the filter lets through, once for each task at most."""
 
@@ -385,12 +391,11 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     """(doc_id, n_shingles, component_id) for every row of docs."""
     spark = docs.sparkSession
     reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = first_pass(docs, doc_id, text, words, percent, reducers)
-    parts = spark.read.schema(PASS).parquet(folder)
+    parts = tile_pass(docs, doc_id, text, words, percent, reducers)
 
     named = _unpack(parts.filter("kind = 'd'"), "doc_id long, n long, node long", lambda x, y, z: [pa.array(x, mask=y < 0), pa.array(np.where(y < 0, -1 - y, y)), pa.array(z)])
     met = _unpack(parts.filter("kind = 'e'"), "a long, b long", lambda x, y, _: [pa.array(x), pa.array(y)])
-    candidates = components(met.union(tile_edges(parts.filter("kind = 'p'"), reducers)))
+    candidates = components(met)
     roots = resolve(docs, text, named, materialise(candidates, "candidates", few_files=True), words, percent, block)
 
     full = named.filter("n > 0").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
