@@ -9,6 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.plans.parser import parse
 from marlstone.session import Session
 from marlstone.sources.catalog import Database
 
@@ -99,15 +100,17 @@ SELECTS: dict[str, tuple[str, list[str] | None, str]] = {
 }
 
 
-def open_tables(spark: SparkSession, sf_dir: str, session: Session | None = None) -> Session:
-    session = session or Session(spark)
-    for t in TABLES:
+def open_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) -> Session:
+    session = Session(spark)
+    for t in names:
         session.register(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"), ORDER[t])
     return session
 
 
 def _select(text: str, names: list[str] | None, spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = open_tables(spark, sf_dir).query(text)
+    """The statement over the tables that it names; others are not opened."""
+    statement = next(parse(f"{text};"))
+    rows = open_tables(spark, sf_dir, statement.relations).run(statement).rows
     return rows.toDF(*names) if names else rows
 
 
