@@ -41,8 +41,8 @@ PER_OCTAVE = 32
 WALKS = 3
 OCTAVES = 40
 BAND = 8
-CELLS = 3_000_000
-GROUP_CHARS = 20_000_000
+CELLS = 1_500_000
+GROUP_CHARS = 8_000_000
 FIRST = -(1 << 63)
 _rng = np.random.Generator(np.random.PCG64(77))
 
