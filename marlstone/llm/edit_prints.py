@@ -6,7 +6,7 @@ distance have walks that fall in step again soon after each edit, so their embed
 distance has become Hamming distance. The fingerprint samples the embedding at fixed places, as many in every octave of
 places, one hexadecimal digit of the character's hash each. Texts of all lengths share the places, and a longer text
 only has more of them. Each sample stands for as many steps as it represents, so likeness, the weighted share of equal
-samples, estimates the share of equal places. Bands are hashes of several samples from the two last full octaves.
+samples, estimates the share of equal places. Bands are hashes of runs of neighbouring samples, over all of the embedding.
 
 One walk falls in step again quickly in most cases, late in some. So there are several independent walks, each with
 samples of its own; likeness is that of the walk that agrees best, and every walk has bands.
@@ -43,6 +43,7 @@ OCTAVES = 40
 BAND = 8
 CELLS = 1_500_000
 GROUP_CHARS = 8_000_000
+BLOCK = 512
 FIRST = -(1 << 63)
 _rng = np.random.Generator(np.random.PCG64(77))
 
@@ -155,20 +156,14 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def bands(p: Print) -> list[int]:
-    """Hashes of runs of BAND samples in the two last octaves that each walk fills; of the whole print where it fills none.
-
-    Neighbouring octaves are both taken, so texts on either side of an octave's end share one.
-    """
-    if not len(p[0]):
-        return []
+    """Hashes of all runs of BAND samples of each walk, from the first to the last, which may be shorter."""
     found = []
     for walk, a in enumerate(p):
-        full = int(np.searchsorted(OCTAVE_AT, len(a), "right")) - 1
-        for o in range(max(full - 2, 0), full):
-            lo, hi = int(OCTAVE_AT[o]), int(OCTAVE_AT[o + 1])
-            if hi - lo == PER_OCTAVE:
-                found += [hash_bytes(row.tobytes(), (walk * OCTAVES + o) * PER_OCTAVE + i) for i, row in enumerate(a[lo:hi].reshape(-1, BAND))]
-    return found or [hash_bytes(b"".join(a.tobytes() for a in p), -1)]
+        runs = np.zeros(-(-len(a) // BAND) * BAND, np.uint8)
+        runs[: len(a)] = a
+        runs = runs.view(U64)
+        found += mix(runs + mix(np.arange(len(runs), dtype=U64) + U64((walk + 1) << 32))).view(np.int64).tolist()
+    return found
 
 
 def hash_bytes(data: bytes, salt: int) -> int:
@@ -307,34 +302,82 @@ def print_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return dealt.sortWithinPartitions("part", F.desc("carried"), "id", "tie").mapInArrow(shipped(walk), PRINTED)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
-    """(doc_id, n_chars, class_id): class_id is the smallest id of a document's near copies, itself included.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, *, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_chars, class_id) for each row: class_id is the smallest id of its near copies, itself included.
 
-    Documents that share a band meet its first document; their whole fingerprints decide, with a likeness of at least
-    `least`. Only that one comparison is made for each band and document, so a band that a third of all documents share
-    costs no more than other rows; a document has some forty bands, so near copies meet through many firsts. Documents
-    with equal fingerprints are one from the start. Rows with a null id are left out, as they could not be named.
+    Distinct fingerprints that share a band are compared whole, each with each unless they are already connected, and
+    linked by a likeness of at least `least`. A band of more than `block` fingerprints is dealt into blocks, and each pair
+    of blocks goes to a task; bands with the same members count once. A band that very many unlike texts share costs work
+    with the square of their number. Texts that are alike without a band in common are not met. Rows with equal
+    fingerprints are one from the start. Rows with a null id are left out, as they could not be named.
     """
-    prints = materialise(print_documents(docs, doc_id, text).filter("doc_id IS NOT NULL"), "prints")
-    # One document stands for all of an equal fingerprint.
-    alike = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("a"))
-    stands = materialise(prints.join(alike, "fingerprint").select("doc_id", "n_chars", "fingerprint", "bands", "a"), "classes")
-    firsts = stands.filter("doc_id = a").dropDuplicates(["a"])
-    banded = firsts.select("a", F.explode(F.array_distinct("bands")).alias("band"))
-    first = banded.groupBy("band").agg(F.min("a").alias("b"))
-    pairs = banded.join(first, "band").filter("a != b").select("a", "b").distinct()
-    shown = firsts.select(F.col("a").alias("node"), F.col("fingerprint").alias("print"))
-    both = pairs.join(shown.toDF("a", "print_a"), "a").join(shown.toDF("b", "print_b"), "b")
+    rows = print_documents(docs, doc_id, text).filter("doc_id IS NOT NULL").withColumn("node", F.xxhash64("fingerprint"))
+    rows = materialise(rows, "prints")
+    prints = materialise(rows.select("node", "fingerprint", "bands").dropDuplicates(["node"]), "classes")
+    banded = prints.select("node", F.explode(F.array_distinct("bands")).alias("band"))
+    digests = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
+    members = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *digests).filter("n > 1")
+    members = members.groupBy("n", "m1", "m2").agg(F.min("band").alias("band"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = banded.join(members.select("band", blocks.alias("blocks")), "band")
+    dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("blk", k).alias("i"), F.greatest("blk", k).alias("j")))
+    placed = dealt.select("node", "band", "blk", F.explode(sides).alias("t")).select("node", "band", "t.i", "t.j", "blk").join(prints.select("node", "fingerprint"), "node")
+    placed = placed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").select("band", "i", "j", "blk", "node", "fingerprint")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            near = [likeness(parsed(p), parsed(q)) >= least for p, q in zip(*columns[2:])]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        key, held = None, []
 
-    edges = both.select("a", "b", "print_a", "print_b").mapInArrow(shipped(verify), "a long, b long")
-    roots = components(edges).select(F.col("node").alias("a"), "root")
-    return stands.join(roots, "a", "left").select("doc_id", "n_chars", F.coalesce("root", "a").alias("class_id"))
+        def settle() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            blk, names = np.array([h[0] for h in held]), np.array([h[1] for h in held], np.int64)
+            label = connect([parsed(h[2]) for h in held], blk if key[1] != key[2] else None, least)
+            other = names != names[label]
+            if other.any():
+                yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[label][other])], ["a", "b"])
+
+        for batch in batches:
+            for *own, blk, node, fingerprint in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != key:
+                    yield from settle()
+                    key, held = own, []
+                held.append((blk, node, fingerprint))
+        yield from settle()
+
+    roots = components(placed.mapInArrow(shipped(verify), "a long, b long"))
+    full = rows.select("doc_id", "n_chars", "node").join(roots, "node", "left").select("doc_id", "n_chars", F.coalesce("root", "node").alias("root"))
+    smallest = full.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return full.join(smallest, "root").select("doc_id", "n_chars", "class_id")
+
+
+def connect(prints: list[Print], side: np.ndarray | None, least: float) -> np.ndarray:
+    """For each fingerprint the first one of its component. With side, only pairs across sides are looked at."""
+    grids, sizes, totals = [], [], []
+    for walk in zip(*prints):
+        size = np.array([len(a) for a in walk])
+        grid = np.zeros((len(walk), int(size.max())), np.uint8)
+        for row, a in zip(grid, walk):
+            row[: len(a)] = a
+        grids.append(grid)
+        sizes.append(size)
+        totals.append(np.cumsum(WEIGHTS)[size - 1])
+    label = np.arange(len(prints))
+    for i in range(len(prints) - 1):
+        j = np.arange(i + 1, len(prints))
+        j = j[label[j] != label[i]]
+        if side is not None:
+            j = j[side[j] != side[i]]
+        near = np.zeros(len(j), bool)
+        for grid, size, total in zip(grids, sizes, totals):
+            # Lengths too far apart can't be alike; beyond a text's end no sample is equal.
+            may = np.flatnonzero(~near & (np.minimum(total[i], total[j]) >= least * np.maximum(total[i], total[j])))
+            n = int(size[i])
+            near[may] = (grid[j[may], :n] == grid[i, :n]) @ WEIGHTS[:n] / np.maximum(total[i], total[j[may]]) >= least
+        joined = np.unique(np.append(label[j[near]], label[i]))
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    return label
 
 
 def parsed(text: str) -> Print:

@@ -106,3 +106,62 @@ def test_near_duplicates(spark):
     got = {r["doc_id"]: r["class_id"] for r in ep.near_duplicates(spark.createDataFrame([*rows, (None, "x"), (900, None), (901, "")], "doc_id long, text string")).collect()}
     want = {d: min(e for e in group if group[e] == g) for d, g in group.items()}
     assert {d: got[d] for d in want} == want and got[900] == got[901] == 900 and None not in got
+
+
+def test_bands_cover_the_whole_print():
+    """Each sample is in a band, whichever octave it is in: changing it changes one."""
+    for text in ("a", "abc", *texts_of(12, 3, 1500)):
+        (p,) = ep.fingerprints([text])
+        for walk, a in enumerate(p):
+            for k in range(len(a)):
+                other = a.copy()
+                other[k] = ord("0") if a[k] != ord("0") else ord("1")
+                assert len(set(ep.bands(p)) ^ set(ep.bands((*p[:walk], other, *p[walk + 1 :])))) == 2
+
+
+@pytest.mark.parametrize("block", [ep.BLOCK, 3])
+def test_groups_with_a_long_head(spark, block):
+    """Texts that share their first 600 characters, and near copies among them: the smallest id is like none of the rest."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice(string.ascii_lowercase + "  ") for _ in range(n))
+    head, rows, group = letters(600), [], {}
+    for g in range(8):
+        rest = letters(380)
+        for k in range(1 if g == 0 else 3):
+            group[len(rows)] = g
+            rows.append((len(rows), head + rest[:-1] + "QRS"[k]))
+    prints = [ep.fingerprints([t])[0] for _, t in rows]
+    assert len({ep.written(p) for p in prints[1:4]}) > 1
+    want = {}
+    for d, p in enumerate(prints):
+        # Groups are not alike with each other; all in one are with its first.
+        want[d] = min(e for e in group if group[e] == group[d])
+        assert all((ep.likeness(p, q) >= 0.8) == (group[d] == group[e]) for e, q in enumerate(prints))
+    got = {r["doc_id"]: r["class_id"] for r in ep.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=block).collect()}
+    assert got == want
+
+
+def test_connect_equals_likeness():
+    rng = random.Random(8)
+    prints = []
+    for base in texts_of(31, 12, 600):
+        for _ in range(5):
+            copy = list(base or "x")
+            for _ in range(rng.randrange(8)):
+                copy[rng.randrange(len(copy))] = "z"
+            prints.append(ep.fingerprints(["".join(copy[: len(copy) - rng.randrange(len(copy) // 5 + 1)])])[0])
+    for side in (None, np.array([rng.randrange(2) for _ in prints])):
+        root = list(range(len(prints)))
+        for i in range(len(prints)):
+            for j in range(i):
+                if (side is None or side[i] != side[j]) and ep.likeness(prints[i], prints[j]) >= 0.8:
+                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        assert ep.connect(prints, side, 0.8).tolist() == root
+
+
+def test_a_row_for_each_row(spark):
+    """Two texts under one id, of which each has a near copy of its own."""
+    one, two = ("".join(t) for t in (["first "] * 3 + texts_of(17, 1, 3000), ["other "] * 3 + texts_of(18, 1, 3000)))
+    rows = [(5, one), (5, two), (5, two), (7, one[:-1] + "Q"), (8, two[:-1] + "Q"), (9, "alone")]
+    got = sorted(tuple(r) for r in ep.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((d, len(t), 9 if d == 9 else 5) for d, t in rows)
