@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import bitfilter
-from marlstone.llm.common import materialise, shipped, text_of
+from marlstone.llm.common import fresh, materialise, shipped, text_of
 from marlstone.llm.components import components, forest
 from marlstone.llm.wordhash import U64, Words, mix, text_groups
 
@@ -440,10 +440,28 @@ def resolve(docs: DataFrame, text: str, named: DataFrame, candidates: DataFrame,
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one document of each component: the one whose id the component has.
+    """docs with one row of each component: the one with the smallest id, null being larger than all others.
 
-    Documents without shingles stay, and so do those with a null id, which cannot be named.
+    Rows with equal ids and different texts stand in the order of a hash of the text. Of rows alike in id and text one
+    stays, by a hash of all columns. Rows without shingles stay.
     """
-    ids = component_ids(docs, doc_id, text, **how)
-    going = ids.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(going, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    key, place = fresh("row_key", docs.columns), fresh("row_place", docs.columns)
+    named = F.col(doc_id).cast("long")
+    tie = F.xxhash64(text_of(text))
+    keyed = docs.withColumn(key, F.xxhash64(named, named.isNull(), tie))
+    ids = component_ids(keyed, key, text, **how).filter("n_shingles > 0")
+    ids = ids.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("n"))
+    order = F.struct(named.isNull().alias("unnamed"), named.alias("id"), tie.alias("tie"))
+    places = docs.select(F.xxhash64(named, named.isNull(), tie).alias("key"), order.alias("place")).distinct()
+    placed = places.join(ids, "key")
+    first = placed.groupBy("component").agg(F.min("place").alias("first"))
+    # The rows that may go: those of keys that aren't their component's first, and all but one of a repeated first.
+    judged = placed.join(first, "component").select("key", "n", (F.col("place") == F.col("first")).alias("stays"))
+    judged = materialise(judged.filter("n > 1 OR NOT stays"), "judged", few_files=True)
+    rest = keyed.join(judged.select(F.col("key").alias(key)), key, "left_anti").select(*docs.columns)
+    repeated = judged.filter("stays").select(F.col("key").alias(key))
+    if repeated.isEmpty():
+        return rest
+    among = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
+    one = keyed.join(repeated, key, "left_semi").withColumn(place, F.row_number().over(among)).filter(F.col(place) == 1)
+    return rest.union(one.select(*docs.columns))

@@ -104,3 +104,17 @@ def test_keep_one(spark):
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
     kept = {r["doc_id"] for r in ngram_join.keep_one(docs).collect()}
     assert kept == {c for _, _, c in brute(rows)}
+
+
+def test_keep_one_goes_by_rows(spark):
+    """Equal ids on different texts, repeated rows and null ids: one row of each component stays, and no namesake goes."""
+    first, second, third, fourth = ("".join(f"{c}{i} " for i in range(60)) for c in "abcd")
+    rows = [(1, first), (2, first + "x"), (2, second), (3, third), (3, third), (3, third + "x"), (None, third), (None, fourth), (None, fourth + "x"), (5, ""), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, row_key string").repartition(4)
+    left = ngram_join.keep_one(docs)
+    assert left.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    nulls = [t for d, t in kept if d is None and t]
+    assert len(nulls) == 1 and nulls[0] in (fourth, fourth + "x")
+    assert kept == Counter([(1, first), (2, second), (None, nulls[0]), (5, ""), (5, ""), (None, None), *[r for r in kept if r in ((3, third), (3, third + "x"))]])
+    assert sum(n for (d, _), n in kept.items() if d == 3) == 1
