@@ -1,7 +1,8 @@
-"""A Bloom filter of fixed size over 64-bit hashes, built by Spark and asked in numpy.
+"""A Bloom filter over 64-bit hashes, built by Spark and asked in numpy.
 
-Its size is a parameter and doesn't grow with the input, so it may be broadcast. It only spares work: a false hit goes
-on to an exact count or join.
+Its size follows the number of hashes up to MOST bits (8 MB) and never goes beyond, so it may be broadcast. It only
+spares work: a false hit goes on to an exact count or join. Callers know by holds() when there are too many hashes for
+it to be worth asking.
 """
 
 from __future__ import annotations
@@ -12,6 +13,17 @@ from pyspark.sql import functions as F
 
 #: Bits in a page, the unit of Spark's bitmap functions.
 PAGE = 1 << 15
+MOST = 1 << 26
+
+
+def bits_for(n: int) -> int:
+    """About 16 bits to a hash, as a power of two."""
+    return min(MOST, max(PAGE, 1 << (16 * max(n, 1) - 1).bit_length()))
+
+
+def holds(n: int) -> bool:
+    """Whether the filter of n hashes lets through few others: with four bits to a hash, fewer than one in six."""
+    return n * 4 <= MOST
 
 
 def build(hashes: DataFrame, column: str, bits: int) -> np.ndarray:

@@ -78,6 +78,20 @@ def kept_where(df: DataFrame, condition: str) -> DataFrame:
     return df.withColumn(still, F.monotonically_increasing_id()).filter(f"({condition}) AND {still} >= 0").drop(still)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers wait for their next task, and those that wait share an executor's memory."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shipped(function, *broadcasts):
     """A function for mapInArrow that also works where workers don't find this package by themselves.
 
@@ -93,7 +107,12 @@ def shipped(function, *broadcasts):
 
         if importlib.util.find_spec("marlstone") is None:
             sys.path.append(root)
-        yield from pickle.loads(payload)(batches)
+        from marlstone.llm.common import give_back
+
+        try:
+            yield from pickle.loads(payload)(batches)
+        finally:
+            give_back()
 
     run.needs = broadcasts
     return run

@@ -2,7 +2,8 @@
 
 Each round sends minima along edges (large star, then small star); the number of rounds grows with the logarithm of
 the longest path. Each round is written to the shared folder, so no lineage piles up and a lost executor costs one
-round at most. A node with very many edges is met by partial aggregation and by joins that Spark can split.
+round at most. A node with very many edges is met by partial aggregation, and by a join whose sides are both read from
+tables: Spark can split a hot key of such a join, but not of one that shares its exchange with an aggregation.
 """
 
 from __future__ import annotations
@@ -18,17 +19,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node that edges lead to. Order is that of long."""
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     now = materialise(now, "edges", few_files=True)
+    mark = _mark(now)
     while True:
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "stars", few_files=True)
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
-        after = materialise(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", few_files=True)
-        if _mark(after) == _mark(now):
-            roots = after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
-        now = after
+        now = materialise(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", few_files=True)
+        before, mark = mark, _mark(now)
+        if mark == before:
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -2,9 +2,10 @@
 
 The word vocabulary's normaliser and splitter never look across white space, and part a full stop or comma from a letter
 or digit before it, so a text's ids are the ids of such words in a row. The vocabulary has lower case only, so words that
-differ in the case of A-Z are one, unless a special string may be near. Words are told apart by hash; the library encodes those not seen before, and the ids of all texts are then
-gathered by numpy. Memory is bounded: words are remembered up to a limit and then forgotten all at once, and texts
-are taken in groups of limited length.
+differ in the case of A-Z are one, unless a special string may be near. Words are found by hash and confirmed by their
+bytes; the library encodes those not seen before, and the ids of all texts are then gathered by numpy. Memory is
+bounded: words are remembered up to a limit of number and bytes and then forgotten all at once, and texts are taken in
+groups of limited length, a very long one in pieces that end at white space.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ import os
 
 import numpy as np
 
-from marlstone.llm.wordhash import Memo, Words, mix
+from marlstone.llm.wordhash import GROUP_BYTES, Lexicon, Words, grown, pieces
 
-REMEMBERED = 1_500_000
+REMEMBERED, REMEMBERED_BYTES = 500_000, 32_000_000
 
 
 def default_path() -> str:
@@ -43,7 +44,7 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.memo = Memo()
+        self.lexicon = Lexicon()
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 18, np.uint32), 0
 
@@ -71,40 +72,38 @@ class WordEncoder:
         length = np.fromiter(map(len, coded), np.int64, len(coded))
         return np.fromiter((i for c in coded for i in c), np.uint32, int(length.sum())), length
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
+        """Keeps the ids of words that the lexicon has just numbered."""
         ids, length = self.ids_of(words)
-        n, m = self.memo.n, self.memo.n + len(words)
-        while m > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.start[n:m], self.length[n:m] = self.n_ids + np.cumsum(length) - length, length
+        m = self.lexicon.n
+        self.start, self.length, self.ids = grown(self.start, m), grown(self.length, m), grown(self.ids, self.n_ids + len(ids) + 1)
+        own = slice(m - len(words), m)
+        self.start[own], self.length[own] = self.n_ids + np.cumsum(length) - length, length
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.n_ids += len(ids)
-        self.memo.add(hashes)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, end_id after each, and how many each text has, that one included."""
-        if self.memo.n > self.remembered:
+        if len(bounds) == 2 and len(data) > 2 * GROUP_BYTES:
+            cuts = list(pieces(data))
+            parts = [self.encode(data[lo:hi], np.array([0, hi - lo]), end_id)[0][: None if hi == len(data) else -1] for lo, hi in cuts] if len(cuts) > 1 else []
+            if parts:
+                ids = np.concatenate(parts)
+                return ids, np.array([len(ids)])
+        if self.lexicon.n > self.remembered or self.lexicon.size > REMEMBERED_BYTES:
             self.forget()
         raw = data.tobytes()
         special = b"<|" in raw
         w = Words(data, bounds, lower=not special, marks=not special)
-        if special:
-            w.hash = mix(w.hash)
-        at = self.memo.find(w.hash)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new, first = np.unique(w.hash[missing], return_index=True)
-            first = missing[first]
-            self.learn(new, [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first].tolist(), w.end[first].tolist())])
-            at[missing] = self.memo.find(w.hash[missing])
+        # A text with a special string is not split at marks: its words are not those of other texts.
+        tag = np.full(len(w.hash), int(special), np.int64)
+        learn = lambda new: self.learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[new].tolist(), w.end[new].tolist())])
+        at = self.lexicon.numbers(w, np.arange(len(w.hash)), tag, learn)
         # One more word behind each text: the end id, kept behind all ids.
         last = w.bounds[1:]
         length = np.insert(self.length[at].astype(np.int64), last, 1)
         start = np.insert(self.start[at], last, self.n_ids)
-        if self.n_ids == len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids = grown(self.ids, self.n_ids + 1)
         self.ids[self.n_ids] = end_id
         sums = np.concatenate([[0], np.cumsum(length)])
         ids = self.ids[np.repeat(start - sums[:-1], length) + np.arange(sums[-1])]

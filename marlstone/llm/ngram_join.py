@@ -13,12 +13,14 @@ blocks by size, and pairs of blocks that sizes allow go to a task each. There, t
 differ bound the overlap from above, and the pairs that pass are settled by exact intersection, unless they are
 already connected: what is asked for is connection, so copies are not expanded into all pairs.
 
-Hashes have 64 bits; two different shingles, or two different sets, are taken for the same with a chance of 2**-64.
+Hashes of shingles and of sets have 64 bits: two different ones are taken for the same with a chance of about 2**-64,
+unless someone who knows the constants makes them so.
 
 Defined results: null, empty and white texts have an empty set, link with nothing and are their own component; texts
 with fewer words than a shingle have the whole sequence as their one shingle; rows with equal ids are rows of their own
-that happen to be named alike; a null id is never the smallest, and a component of null ids alone has a null id. Only
-the id and the text are read, so extra columns don't matter.
+that happen to be named alike; a null id is never the smallest, and a component of null ids alone has a null id. A very
+long text is a set like others: its array is held whole, eight bytes for each distinct shingle. Only the id and the text
+are read, so extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -40,10 +42,10 @@ from marlstone.llm.components import components, forest
 from marlstone.llm.wordhash import U64, Words, mix, text_groups
 
 WORDS, PERCENT = 3, 90
-CHUNK_SIGNATURES = 600_000
+CHUNK_SIGNATURES = 400_000
 BLOCK, SMALL = 2048, 1000
-FILTER_BITS = 1 << 24
-HEAVY_SHARE, COUNTED = 0.0005, 1_000_000
+HEAVY_BITS, BITMAP_BYTES = 1 << 23, 1 << 23
+HEAVY_SHARE, COUNTED = 0.0005, 500_000
 _K = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
 
 
@@ -148,8 +150,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 64-bit words for each set; each shingle sets one bit, about eight bits to a shingle of the largest set."""
-    bits = max(6, (8 * max(map(len, sets)) - 1).bit_length())
+    """A row of 64-bit words for each set; each shingle sets one bit, about eight bits to a shingle of the largest set.
+
+    All rows together have no more than BITMAP_BYTES (or eight bytes each): narrower ones bound less tightly, and right.
+    """
+    bits = max(6, min((8 * max(map(len, sets)) - 1).bit_length(), (8 * BITMAP_BYTES // len(sets)).bit_length() - 1))
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     at = (np.concatenate(sets) * U64(_K[5]) >> U64(64 - bits)).astype(np.int64)
     grid = np.zeros((len(sets), 1 << (bits - 3)), np.uint8)
@@ -163,8 +168,7 @@ def connect(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np
     sets = [sets[k] for k in order]
     size = np.array([len(s) for s in sets], np.int64)
     label = np.arange(len(sets))
-    if len(sets) > 2:
-        bits = bitmaps(sets)
+    bits = bitmaps(sets)
     for i in range(len(sets) - 1):
         # Sizes ascend: partners of i end where i is too small for them.
         top = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
@@ -172,7 +176,7 @@ def connect(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np
         j = j[label[j] != label[i]]
         if side is not None:
             j = j[side[order[j]] != side[order[i]]]
-        if len(j) and len(sets) > 2:
+        if len(j):
             # Differing bits are at most as many as differing shingles, so this bounds the overlap from above.
             differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
             most = (size[i] + size[j] - differ) // 2
@@ -227,7 +231,7 @@ def heavy_shingles(docs: DataFrame, text: str, words: int, share: float = HEAVY_
 
     slim = docs.select(text_of(text).alias("body"))
     counts = slim.mapInArrow(shipped(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return bitfilter.build(counts.filter(F.col("n") >= max(8, docs.count() * share)), "h", FILTER_BITS // 2)
+    return bitfilter.build(counts.filter(F.col("n") >= max(8, docs.count() * share)), "h", HEAVY_BITS)
 
 
 PASS, MET = "kind string, r int, x binary, y binary, z binary", "kind string, x binary, y binary, z binary"
@@ -425,7 +429,8 @@ def resolve(docs: DataFrame, text: str, named: DataFrame, candidates: DataFrame,
     # A list for each block of the tasks it takes part in; one task for all but the largest groups.
     sides = sides.groupBy("root", "blk").agg(F.collect_list(F.struct("i", "j")).alias("tasks"))
 
-    grid = docs.sparkSession.sparkContext.broadcast(bitfilter.build(candidates, "node", FILTER_BITS))
+    # False hits, of which there are more when the filter has reached its bound, only cost the shuffle of their arrays.
+    grid = docs.sparkSession.sparkContext.broadcast(bitfilter.build(candidates, "node", bitfilter.bits_for(candidates.count())))
     arrays = class_sets(docs, text, words, grid)
     placed = arrays.join(dealt.join(sides, ["root", "blk"]).select("node", "root", "blk", "tasks"), "node")
     placed = placed.select("root", F.explode("tasks").alias("t"), "blk", "node", "s").select("root", "t.i", "t.j", "blk", "node", "s")

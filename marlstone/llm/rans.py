@@ -239,8 +239,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
         coder, part = Coder(freq), TaskContext.get().partitionId()
         seq = before = 0
         waiting: list[tuple[list, list[np.ndarray], int]] = []
-        own: tuple[list, list, int] = ([], [], 0)
-        total = 0
+        names, arrays, n_own, total = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq, before, waiting, total
@@ -254,16 +253,17 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
 
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                array = np.frombuffer(blob.as_buffer(), kind)
-                own = ([*own[0], name], [*own[1], array.copy()], own[2] + len(array))
-                if own[2] >= BLOCK_TOKENS:
-                    waiting.append(own)
-                    total += own[2]
-                    own = ([], [], 0)
+                names.append(name)
+                arrays.append(np.frombuffer(blob.as_buffer(), kind).copy())
+                n_own += len(arrays[-1])
+                if n_own >= BLOCK_TOKENS:
+                    waiting.append((names, arrays, n_own))
+                    total += n_own
+                    names, arrays, n_own = [], [], 0
                     if total >= GROUP_TOKENS:
                         yield from flush()
-        if own[0]:
-            waiting.append(own)
+        if names:
+            waiting.append((names, arrays, n_own))
         yield from flush()
 
     ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")

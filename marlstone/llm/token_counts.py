@@ -4,7 +4,8 @@ Distinct pre-tokens of a batch are held as one ragged numpy array of symbols. In
 lowest-ranked pair, all sequences merge theirs at once, and the arrays are compacted; a sequence without a pair that
 merges has its final length. No merge is done a string at a time.
 
-Counts of distinct pieces are remembered per worker up to a limit, so a text costs a lookup for each piece.
+Counts of distinct pieces are remembered per worker up to a limit, so a text costs a lookup for each piece. Pieces are
+found by hash and confirmed by their bytes.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; the special string inside a text is one token, as the
 library takes it; repeated rows are counted row by row; texts of any length are counted whole; extra columns are
@@ -14,7 +15,9 @@ passed on, and one whose name clashes with a result column gives way to it.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,10 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import fresh, shipped, text_of
 from marlstone.llm.encoder import byte_symbols
-from marlstone.llm.wordhash import IS_WORD, U64, Memo, Words, mix, text_groups
+from marlstone.llm.wordhash import GROUP_BYTES, IS_WORD, Lexicon, Words, grown, text_groups
 
-REMEMBERED = 2_000_000
+REMEMBERED, REMEMBERED_BYTES = 700_000, 32_000_000
+AT_ONCE = 200_000
 MERGE_SYMBOLS = 1_000_000
 # White space beyond the six ASCII characters, and separators that some libraries take for it.
 ODD_WHITE = (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -124,7 +128,8 @@ class TokenCounter:
 
         spec = json.load(open(path, encoding="utf-8"))
         self.merger = Merger(spec["model"]["vocab"], spec["model"]["merges"])
-        self.pre_tokens = regex.compile(public_tokenizers.PATTERN).findall
+        pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pre_tokens, self.each = pattern.findall, pattern.finditer
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         # Special strings, and white space beyond the six characters, as UTF-8 bytes.
@@ -135,7 +140,7 @@ class TokenCounter:
         self.forget()
 
     def forget(self) -> None:
-        self.memo = Memo()
+        self.lexicon = Lexicon()
         self.tokens = np.zeros(1 << 16, np.int64)
         self.exact: dict[str, int] = {}
 
@@ -151,15 +156,27 @@ class TokenCounter:
         return np.diff(sums[np.cumsum(counts)])
 
     def whole(self, text: str) -> int:
-        """One text, split whole; its distinct pre-tokens are merged together."""
+        """One text, split whole, a limited number of pre-tokens at a time; distinct ones are merged together."""
         parts = self.special.split(text) if self.special else [text]
-        own = [x for p in parts for x in self.pre_tokens(p)]
-        new = list(set(own).difference(self.exact))
-        self.exact.update(zip(new, self.merger.lengths([x.encode("utf-8", "surrogatepass") for x in new]).tolist()))
-        return len(parts) - 1 + sum(map(self.exact.__getitem__, own))
+        total = len(parts) - 1
+        for p in parts:
+            found = self.each(p)
+            while own := [m.group() for m in islice(found, AT_ONCE)] if len(p) > AT_ONCE else self.pre_tokens(p):
+                new = list(set(own).difference(self.exact))
+                if len(self.exact) + len(new) > self.remembered:
+                    self.exact, new = {}, list(set(own))
+                self.exact.update(zip(new, self.merger.lengths([x.encode("utf-8", "surrogatepass") for x in new]).tolist()))
+                total += sum(n * self.exact[x] for x, n in Counter(own).items())
+                if len(p) <= AT_ONCE:
+                    break
+        return total
 
     def count(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        if self.memo.n + len(self.exact) > self.remembered:
+        if len(bounds) == 2 and len(data) > 2 * GROUP_BYTES:
+            cuts = [0, *_lone_whites(data), len(data)]
+            if len(cuts) > 2:
+                return sum(self.count(data[a:b], np.array([0, b - a])) for a, b in zip(cuts, cuts[1:]))
+        if self.lexicon.n + len(self.exact) > self.remembered or self.lexicon.size > REMEMBERED_BYTES:
             self.forget()
         raw = data.tobytes()
         w = Words(data, bounds)
@@ -178,20 +195,14 @@ class TokenCounter:
         spaced = np.zeros(len(w.start), bool)
         inner = w.start > bounds[of]
         spaced[inner] = data[w.start[inner] - 1] == 32
-        key = mix(w.hash + spaced.astype(U64))
         use = ~odd[of]
-        at = self.memo.find(key[use])
-        missing = np.flatnonzero(use)[at < 0]
-        if len(missing):
-            new, one = np.unique(key[missing], return_index=True)
-            one = missing[one]
-            strings = [(" " if s else "") + raw[a:b].decode("utf-8", "surrogatepass") for a, b, s in zip(w.start[one].tolist(), w.end[one].tolist(), spaced[one].tolist())]
-            n = self.lengths(strings)
-            while self.memo.n + len(n) > len(self.tokens):
-                self.tokens = np.resize(self.tokens, 2 * len(self.tokens))
-            self.tokens[self.memo.n : self.memo.n + len(n)] = n
-            self.memo.add(new)
-            at = self.memo.find(key[use])
+
+        def learn(new: np.ndarray) -> None:
+            strings = [(" " if s else "") + raw[a:b].decode("utf-8", "surrogatepass") for a, b, s in zip(w.start[new].tolist(), w.end[new].tolist(), spaced[new].tolist())]
+            self.tokens = grown(self.tokens, self.lexicon.n)
+            self.tokens[self.lexicon.n - len(new) : self.lexicon.n] = self.lengths(strings)
+
+        at = self.lexicon.numbers(w, np.flatnonzero(use), spaced.astype(np.int64), learn)
         of_use = of[use]
         out = np.bincount(of_use, self.tokens[at], len(odd)).astype(np.int64)
         # White space that no word takes.
@@ -202,6 +213,19 @@ class TokenCounter:
         return out
 
 
+def _lone_whites(data: np.ndarray) -> Iterator[int]:
+    """Places, about GROUP_BYTES apart, of white space alone between ASCII words: no pre-token reaches over its beginning."""
+    plain = IS_WORD & (np.arange(256) < 128)
+    at, end = GROUP_BYTES, len(data) - 1
+    while at < end:
+        own = data[at - 1 : at + GROUP_BYTES + 1]
+        lone = np.flatnonzero(plain[own[:-2]] & ~IS_WORD[own[1:-1]] & plain[own[2:]])
+        if len(lone):
+            yield at + int(lone[0])
+            at += int(lone[0])
+        at += GROUP_BYTES
+
+
 _counters: dict[str, TokenCounter] = {}
 
 
