@@ -58,3 +58,7 @@ class FormatError(Exception):
 
 class SyntaxFault(Exception):
     """Text that isn't a statement. The session skips it and goes on."""
+
+
+class LineFault(Exception):
+    """A line that doesn't fit the relation it is loaded into. No statement goes on behind it: it leaves the session as an exception."""

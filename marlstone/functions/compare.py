@@ -14,6 +14,15 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {"=": operator.eq, "<
 MIRRORED = {"=": "=", "<>": "<>", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
 
 
+def first_bytes(text: Column, n: int) -> Column:
+    """The characters that lie whole in the first n bytes of a string; strings that fit, by far the most, are passed on.
+
+    A cut character goes, as half of one is no string to Spark, its files or its readers.
+    """
+    cut = F.make_valid_utf8(F.substring(text.cast("binary"), 1, n).cast("string"))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
+
+
 def column(attribute: Attribute) -> Column:
     return F.col(f"`{attribute.column}`")
 
@@ -26,8 +35,8 @@ def literal(value: int | float | str, attribute: Attribute) -> Column:
         return F.lit(int(value)) if -(1 << 31) <= value < 1 << 31 else F.lit(int(value)).cast("long")
     if attribute.kind == TIME:
         return F.to_timestamp(F.lit(value))
-    # No more than the declared length of the left side takes part.
-    return F.lit(value[: attribute.length] if attribute.length else value)
+    # No more than the declared length of the left side, in bytes, takes part.
+    return F.lit(value.encode()[: attribute.length].decode(errors="ignore") if attribute.length else value)
 
 
 def compare(left: Attribute, op: str, right: Attribute | int | float | str) -> Column:
@@ -36,5 +45,5 @@ def compare(left: Attribute, op: str, right: Attribute | int | float | str) -> C
         return OPERATORS[op](column(left), literal(right, left))
     other = column(right)
     if left.kind == STRING and left.length and (right.length == 0 or right.length > left.length):
-        other = F.substring(other, 1, left.length)
+        other = first_bytes(other, left.length)
     return OPERATORS[op](column(left), other)

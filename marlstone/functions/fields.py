@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions.compare import first_bytes
 from marlstone.types import FLOAT, INT, Attribute
 
 INT_PREFIX = r"^\s*([+-]?[0-9]+)"
@@ -20,4 +21,4 @@ def typed(token: Column, attribute: Attribute) -> Column:
         return F.when(wide.isNull(), 0).otherwise(held.cast("int"))
     if attribute.kind == FLOAT:
         return F.coalesce(F.regexp_extract(token, FLOAT_PREFIX, 1).try_cast("float"), F.lit(0.0).cast("float"))
-    return F.coalesce(F.substring(token, 1, attribute.length), F.lit(""))
+    return F.coalesce(first_bytes(token, attribute.length), F.lit(""))

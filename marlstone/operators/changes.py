@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.compare import first_bytes
 from marlstone.operators.relational import Test
 from marlstone.types import STRING, Attribute
 
@@ -26,7 +27,7 @@ def deleted(rows: DataFrame, tests: Sequence[Test]) -> tuple[DataFrame, DataFram
 def updated(rows: DataFrame, a: Attribute, value: Column, tests: Sequence[Test]) -> tuple[DataFrame, DataFrame]:
     """All rows, and the changed ones as they are now. Which rows change is decided on their old values."""
     if a.kind == STRING and a.length:
-        value = F.substring(value, 1, a.length)
+        value = first_bytes(value, a.length)
     hit = F.coalesce(matching(tests), F.lit(False))
     marked = rows.withColumn("__hit", hit)
     after = marked.withColumn(a.column, F.when(F.col("__hit"), value).otherwise(F.col(f"`{a.column}`")))

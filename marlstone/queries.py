@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.plans.parser import parse
@@ -164,6 +164,83 @@ CHANGES: dict[str, tuple[str, str]] = {
 }
 
 
+#: Statements on a relation as large as a table of the benchmark: name: (statements, SQL).
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"]
+_ORDERS = "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderpriority, CAST(round(o_totalprice) AS INTEGER) AS o_totalprice FROM orders"
+ORDERS: dict[str, tuple[str, str]] = {
+    "load_orders": ("", _ORDERS),
+    "delete_orders": ('delete from ORDERS where O_PRIORITY = "5-LOW" and O_PRICE < 150000;', f"SELECT * FROM ({_ORDERS}) WHERE NOT (o_orderpriority = '5-LOW' AND o_totalprice < 150000)"),
+    "update_orders": (
+        'update ORDERS set O_PRIORITY = "0-NOW" where O_PRICE >= 200000;',
+        f"SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice >= 200000 THEN '0-NOW' ELSE o_orderpriority END AS o_orderpriority, o_totalprice FROM ({_ORDERS})",
+    ),
+    "index_drop": ("create index ORDERS(O_CUSTKEY); drop index ORDERS(O_CUSTKEY);", _ORDERS),
+}
+
+
+def _order_rows(statements: str, spark: SparkSession, sf_dir: str) -> Session:
+    """A session over a relation loaded from comma-separated text of all orders, after the statements."""
+    session = _database(spark)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("o_totalprice", F.expr("CAST(round(o_totalprice) AS BIGINT)"))
+    orders.select(F.concat_ws(",", *ORDER_COLUMNS).alias("value")).write.text(f"{session.db.root}/orders.txt")
+    text = 'create table ORDERS (O_ORDERKEY i4, O_CUSTKEY i4, O_PRIORITY c15, O_PRICE i4); load ORDERS ("orders.txt");'
+    for result in session.execute(f"{text} {statements}"):
+        if result.error:
+            raise result.error
+    return session
+
+
+def _changed_orders(statements: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_rows(statements, spark, sf_dir).query("select * from ORDERS").toDF(*ORDER_COLUMNS)
+
+
+def _index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An indexed scan of rows from before the index and from after it."""
+    session = _order_rows('create index ORDERS(O_CUSTKEY); insert into ORDERS values (-1, 7, "9-NEW", 5); insert into ORDERS values (-2, 100000000, "9-NEW", 6);', spark, sf_dir)
+    return session.query("select * from ORDERS where O_CUSTKEY <= 100").toDF(*ORDER_COLUMNS)
+
+
+def _told(statement: str, names: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a statement shows, on a loaded relation with an index."""
+    session = _nations(spark, sf_dir)
+    for result in session.execute(f"create index NATION(N_REGIONKEY); {statement}"):
+        if result.error:
+            raise result.error
+    return result.rows.toDF(*names)
+
+
+def _placed(text: str, names: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of an ordered statement with their places in its order, which is that of partitions and of rows in them."""
+    rows = _select(text, names, spark, sf_dir).withColumn("at", F.monotonically_increasing_id())
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("at")).cast("long")).drop("at")
+
+
+#: Ordered statements whose keys are unique, with the place of each row: name: (statement, columns, SQL).
+PLACES: dict[str, tuple[str, list[str], str]] = {
+    "order_asc_places": ("select c_name from customer order by c_custkey", ["c_name"], "SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS place FROM customer"),
+    "order_desc_places": (
+        "select c_custkey, c_name from customer order by c_custkey desc", ["c_custkey", "c_name"],
+        "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey DESC) AS place FROM customer",
+    ),
+    "order_string_places": ("select n_nationkey from nation order by n_name", ["n_nationkey"], "SELECT n_nationkey, row_number() OVER (ORDER BY n_name) AS place FROM nation"),
+    "order_hidden_key_places": ("select n_name from nation order by n_nationkey desc", ["n_name"], "SELECT n_name, row_number() OVER (ORDER BY n_nationkey DESC) AS place FROM nation"),
+    "group_order_places": (
+        "select l_suppkey, COUNT(*) from lineitem group by l_suppkey order by l_suppkey desc", ["l_suppkey", "n"],
+        "SELECT l_suppkey, count(*) AS n, row_number() OVER (ORDER BY l_suppkey DESC) AS place FROM lineitem GROUP BY 1",
+    ),
+}
+
+#: Statements that show rows: name: (statement, columns, SQL).
+TOLD: dict[str, tuple[str, list[str], str]] = {
+    "print_rows": ("print NATION;", NATION_COLUMNS, "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
+    "help_relations": ("help;", ["relation"], "SELECT * FROM (VALUES ('relcat'), ('attrcat'), ('NATION')) AS t(relation)"),
+    "help_relation": (
+        "help NATION;", ["attribute", "byte_offset", "kind", "byte_length", "index_number", "func"],
+        "SELECT * FROM (VALUES ('N_NATIONKEY', 0, 0, 4, -1, 0), ('N_NAME', 4, 2, 25, -1, 0), ('N_REGIONKEY', 29, 0, 4, 29, 0)) AS t(attribute, byte_offset, kind, byte_length, index_number, func)",
+    ),
+}
+
+
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join of two relations on indexed attributes, merged."""
     session = _nations(spark, sf_dir)
@@ -181,12 +258,17 @@ def _catalog(which: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable] = {k: partial(_select, text, names) for k, (text, names, _) in SELECTS.items()}
     found |= {k: partial(_changed, statements) for k, (statements, _) in CHANGES.items()}
-    found |= {"index_merge_join": _indexed, "catalog_relcat": partial(_catalog, "relcat"), "catalog_attrcat": partial(_catalog, "attrcat")}
+    found |= {k: partial(_changed_orders, statements) for k, (statements, _) in ORDERS.items()}
+    found |= {k: partial(_placed, text, names) for k, (text, names, _) in PLACES.items()}
+    found |= {k: partial(_told, statement, names) for k, (statement, names, _) in TOLD.items()}
+    found |= {"index_scan": _index_scan, "index_merge_join": _indexed, "catalog_relcat": partial(_catalog, "relcat"), "catalog_attrcat": partial(_catalog, "attrcat")}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found = {k: sql for k, (_, _, sql) in SELECTS.items()} | {k: sql for k, (_, sql) in CHANGES.items()}
+    found |= {k: sql for k, (_, sql) in ORDERS.items()} | {k: sql for k, (_, _, sql) in (*PLACES.items(), *TOLD.items())}
+    found["index_scan"] = f"SELECT * FROM ({_ORDERS}) WHERE o_custkey <= 100 UNION ALL SELECT -1, 7, '9-NEW', 5"
     found["catalog_relcat"] = """
 SELECT 'relcat' AS relName, 41 AS recordSize, 5 AS attrCount, 2 AS numPages, 3 AS numRecords UNION ALL
 SELECT 'attrcat', 70, 7, 2, 15 UNION ALL

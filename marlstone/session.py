@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone import printer
-from marlstone.errors import EngineError, FormatError, SyntaxFault
+from marlstone.errors import EngineError, FormatError, LineFault, SyntaxFault
 from marlstone.functions.compare import column, literal
 from marlstone.operators import changes
 from marlstone.operators import relational as R
 from marlstone.plans import analysis, parser, select
 from marlstone.plans import syntax as S
 from marlstone.sources.catalog import BATCH, CATALOGS, PLACE, Database, Relation
-from marlstone.sources.load import read_lines
+from marlstone.sources.load import TOO_MANY, read_lines
 
 
 @dataclass
@@ -81,6 +83,11 @@ class Session:
             except EngineError as e:
                 result = Result(made, error=e)
                 self.code, self.ended = e.code, not e.is_warning
+            except (PySparkException, Py4JError, OSError) as e:
+                # What files, tables or another writer refused: the session ends with the code of the file system.
+                lines = str(e).strip().splitlines() or [type(e).__name__]
+                result = Result(made, error=EngineError("PF_UNIX", lines[0]))
+                self.code, self.ended = result.code, True
             yield result
 
     def run(self, s: S.Statement) -> Result:
@@ -130,8 +137,16 @@ class Session:
     def _load(self, s: S.Load) -> Result:
         r = self._own(s.relation)
         path = s.path if "://" in s.path or s.path.startswith("/") else f"{self.db.root}/{s.path}"
-        after = self.db.append(r, read_lines(self.spark, path, r.attributes))
-        return Result(s, message=f"{after.records - r.records} tuple(s) loaded.")
+        cut = Observation()
+        try:
+            after = self.db.append(r, read_lines(self.spark, path, r.attributes, cut))
+        except (PySparkException, Py4JError) as e:
+            if TOO_MANY not in str(e):
+                raise
+            raise LineFault(f"{path}: {TOO_MANY}") from None
+        loaded, shorter = after.records - r.records, (cut.get["n"] or 0) if after.records > r.records else 0
+        warning = f" {shorter} string(s) were longer than declared and have been cut." if shorter else ""
+        return Result(s, message=f"{loaded} tuple(s) loaded.{warning}")
 
     def _insert(self, s: S.Insert) -> Result:
         r = self._own(s.relation)

@@ -5,6 +5,10 @@ deleting and updating write the relation anew. A statement takes effect when a c
 been renamed into place; until then, and for plans made before, the old folders stand. vacuum() deletes folders that no
 relation has any more.
 
+Rows of an indexed relation are sorted by its first indexed attribute in every folder, those of later statements too, so
+readers always skip row groups. A relation of more than MANY_PARTS folders is written anew as one, so single inserts
+don't pile up.
+
 Rows carry the order in which they came in hidden columns, the number of the folder and the place in it.
 """
 
@@ -24,6 +28,7 @@ from marlstone.types import FLOAT, INT, MAX_NAME, PAGE_BYTES, STRING, Attribute,
 
 BATCH, PLACE = "__batch", "__place"
 CATALOGS = ("relcat", "attrcat")
+MANY_PARTS = 16
 TYPE_NUMBERS = {INT: 0, FLOAT: 1, STRING: 2}
 
 
@@ -156,9 +161,7 @@ class Database:
             raise EngineError("SM_INDEXEXISTS", f"{relation}.{attribute}")
         r = replace(r, attributes=tuple(x.with_index(True) if x == a else x for x in r.attributes))
         if r.parts:
-            path = f"data-{relation}-{uuid.uuid4().hex}"
-            self.rows(r).repartitionByRange(attribute).sortWithinPartitions(attribute).write.parquet(f"{self.root}/{path}")
-            r = replace(r, parts=(path,))
+            r = replace(r, parts=(self._folder(r, self._spread(self.rows(r), attribute)),))
         self.commit(r)
 
     def drop_index(self, relation: str, attribute: str) -> None:
@@ -199,14 +202,25 @@ class Database:
         return self._written(r, rows, ())
 
     def _written(self, r: Relation, rows: DataFrame, before: tuple[str, ...]) -> Relation:
-        path = f"data-{r.name}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{path}")
+        indexed = next((a.name for a in r.attributes if a.indexed), None)
+        path = self._folder(r, rows.sortWithinPartitions(indexed) if indexed and before else self._spread(rows, indexed))
         # Counted from the files' footers.
         count = self.spark.read.schema(r.schema()).parquet(f"{self.root}/{path}").count()
         after = replace(r, parts=(*before, path), records=count + (r.records if before else 0), batches=r.batches + 1)
+        if len(after.parts) > MANY_PARTS:
+            after = replace(after, parts=(self._folder(after, self._spread(self.rows(after), indexed)),))
         self.commit(after)
         return after
 
+    def _spread(self, rows: DataFrame, by: str | None) -> DataFrame:
+        """Rows in ranges of an indexed attribute, sorted by it."""
+        return rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows
+
+    def _folder(self, r: Relation, rows: DataFrame) -> str:
+        path = f"data-{r.name}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{path}")
+        return path
+
     # -- the catalog as relations
 
     def _catalog_relation(self, name: str) -> Relation:

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from marlstone import printer
-from marlstone.errors import EngineError
+from marlstone.errors import EngineError, LineFault
 from marlstone.session import Session
 from marlstone.sources.catalog import Database
 
@@ -284,3 +284,62 @@ def test_random_conjunctions_equal_sql(spark):
         sql = f"select {', '.join(chosen)} from {', '.join(relations)}" + (f" where {' and '.join(tests)}" if tests else "")
         want = sorted(con.execute(sql).fetchall(), key=str)
         assert sorted((tuple(r) for r in session.query(sql.replace("'", '"')).collect()), key=str) == want, sql
+
+
+def test_strings_are_measured_in_bytes(own, tmp_path):
+    """Five letters of two bytes in a c4 column: two are kept, as in a literal and on loading."""
+    (tmp_path / "own" / "e.data").write_text("1,ééééé\n2,abé\n3,aé\n4\n")
+    results = run(own, 'create table R (a i, s c4); insert into R values (0, "ééééé"); load R ("e.data");')
+    assert [r.error for r in results] == [None] * 3 and "1 string(s)" in results[2].message and results[2].message.startswith("4 ")
+    assert sorted((r["a"], r["s"]) for r in own.query("select * from R").collect()) == [(0, "éé"), (1, "éé"), (2, "abé"), (3, "aé"), (4, "")]
+    assert sorted(r[0] for r in own.query('select a from R where s = "ééX"').collect()) == [0, 1]
+    run(own, 'update R set s = "éééé" where a = 4;')
+    assert own.query('select a from R where s = "éé"').count() == 3
+    # A character that the length cuts goes.
+    (tmp_path / "own" / "t.data").write_text("éé\n")
+    run(own, 'create table T (s c3); insert into T values ("éé"); load T ("t.data");')
+    assert [r[0] for r in own.query('select s from T where s = "éé"').collect()] == ["é", "é"] and own.query('select s from T where s > "é"').count() == 0
+
+
+def test_files_that_fail_end_with_a_code(own, tmp_path):
+    run(own, "create table R (a i, s c4);")
+    (tmp_path / "own" / "wide.data").write_text("1,a,more\n")
+    (result,) = own.execute('load R ("nowhere.data");')
+    assert result.error.name == "SM_BADTABLE" and own.ended and own.code == result.code < 0
+    own.ended = False
+    with pytest.raises(LineFault, match="wide.data"):
+        run(own, 'load R ("wide.data");')
+    assert own.db.relation("R").records == 0
+    # A file that is lost is told by a code.
+    run(own, 'insert into R values (1, "x");')
+    own.db.storage.delete(own.db.relation("R").parts[0])
+    (result,) = own.execute("delete from R where a = 1;")
+    assert result.error.name == "PF_UNIX" and own.ended
+
+
+def test_a_second_writer_is_refused_with_a_code(own):
+    run(own, "create table R (a i);")
+    other = Session(own.spark, own.db.root)
+    run(own, "insert into R values (1);")
+    (result,) = other.execute("insert into R values (2);")
+    assert result.error.name == "PF_UNIX" and other.ended
+    assert [r[0] for r in Session(own.spark, own.db.root).query("select a from R").collect()] == [1]
+
+
+def test_many_inserts_are_compacted_and_stay_sorted(own):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from marlstone.sources.catalog import MANY_PARTS
+
+    run(own, "create table R (a i, b i); insert into R values (5, 0); create index R(a);")
+    for i in range(MANY_PARTS + 2):
+        run(own, f"insert into R values ({(i * 7) % 20}, {i + 1});")
+    r = own.db.relation("R")
+    assert r.records == MANY_PARTS + 3 and len(r.parts) < 5
+    for part in r.parts:
+        values = [x for f in sorted(glob.glob(f"{own.db.root}/{part}/*.parquet")) for x in pq.read_table(f)["a"].to_pylist()]
+        assert values == sorted(values)
+    assert [r[0] for r in own._utility(type("S", (), {"action": "print", "what": "R"})).rows.select("b").collect()] == list(range(MANY_PARTS + 3))
+    assert "PushedFilters: [IsNotNull(a), EqualTo(a,7)" in "".join(own.query("select b from R where a = 7")._jdf.queryExecution().toString())
