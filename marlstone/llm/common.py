@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.storage import Storage
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
@@ -53,9 +55,35 @@ def materialise(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     few_files: for narrow tables that are written again and again, no more tasks and files than four for each core.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/marlstone-{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few_files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+#: Folders of this process that have not been deleted yet.
+_made: list[str] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder in the shared one."""
+    _made.append(f"{checkpoint_root(spark)}/marlstone-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that no plan reads any more."""
+    for t in tables:
+        Storage(t.sparkSession, t.written_to).delete()
+        _made.remove(t.written_to)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all folders that operators have made in this process. For when their results have been written: results
+    are read lazily, so an operator can't know when its tables are done with."""
+    while _made:
+        Storage(spark, _made.pop()).delete()
 
 
 def fresh(prefix: str, taken: list[str]) -> str:

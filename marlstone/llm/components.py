@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise
+from marlstone.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,12 +22,14 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while True:
         both = now.union(now.select("b", "a"))
-        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "stars", few_files=True)
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        stars = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "stars", few_files=True)
+        large = both.filter("b > a").join(stars, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
+        old = now
         now = materialise(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", few_files=True)
         before, mark = mark, _mark(now)
+        discard(old, stars)
         if mark == before:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -12,17 +12,21 @@ One walk falls in step again quickly in most cases, late in some. So there are s
 samples of its own; likeness is that of the walk that agrees best, and every walk has bands.
 
 The walk jumps from character to character by a table of the step at which each next moves, and all documents of a
-group take a jump together in one numpy operation. Every character of every text is walked over.
+group take a jump together in one numpy operation; a few long texts go one by one, a character at a time in plain Python
+(some 0.3 microseconds for a character and its three walks). Every character of every text is walked over.
 
 Defined results: a null text counts as empty; the empty text has the empty fingerprint, whose likeness is 1 to itself
 and 0 to others; a null id stands before all others; rows with equal ids stand in the order of a hash of their text;
-a table with one row has that row as its own next. Only the id and the text are read, so extra columns don't matter.
+a table with one row has that row as its own next; an empty table gives an empty one. A very long text is walked whole,
+and its group has no other. Only the id and the text are read, so extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +47,7 @@ OCTAVES = 40
 BAND = 8
 CELLS = 1_500_000
 GROUP_CHARS = 8_000_000
-BLOCK = 512
+BLOCK, FEW = 512, 40
 FIRST = -(1 << 63)
 _rng = np.random.Generator(np.random.PCG64(77))
 
@@ -93,11 +97,40 @@ def fingerprints(texts: list[str]) -> list[Print]:
         hi = lo + 1
         while hi < len(order) and (hi - lo + 1) * longest <= CELLS and len(texts[order[hi]]) * 10 >= longest * 3:
             hi += 1
-        _walk([texts[i] for i in order[lo:hi]], order[lo:hi], out)
+        (_walk if hi - lo > FEW else _walk_each)([texts[i] for i in order[lo:hi]], order[lo:hi], out)
         lo = hi
     return out
 
 
+def _classes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each character, and its digit."""
+    hashed = mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64) + U64(1))
+    return ((hashed >> U64(58)) % U64(CLASSES)).astype(np.uint8), HEX[(hashed & U64(15)).astype(np.intp)]
+
+
+@cache
+def _rows() -> list[list[list[int]]]:
+    """For each walk and class the jumps of the period."""
+    return [jump.reshape(CLASSES, PERIOD).tolist() for jump in JUMP]
+
+
+def _walk_each(texts: list[str], names: list[int], out: list[Print]) -> None:
+    """Texts one by one, in pieces: for few texts a step in Python costs less than a numpy operation."""
+    mask = PERIOD - 1
+    for text, name in zip(texts, names):
+        found: list[list[np.ndarray]] = [[] for _ in range(WALKS)]
+        steps = [0] * WALKS
+        for lo in range(0, len(text), CELLS):
+            kind, digit = _classes(text[lo : lo + CELLS])
+            for walk, rows in enumerate(_rows()):
+                jumps = map(rows.__getitem__, kind.tobytes())
+                left = np.fromiter(accumulate(jumps, lambda s, row: s + row[s & mask], initial=steps[walk]), np.int64, len(kind) + 1)
+                own = PLACES[np.searchsorted(PLACES, left[0]) : np.searchsorted(PLACES, left[-1])]
+                found[walk].append(digit[np.searchsorted(left[1:], own, "right")])
+                steps[walk] = int(left[-1])
+        out[name] = tuple(map(np.concatenate, found))
+
+
 def _walk(texts: list[str], names: list[int], out: list[Print]) -> None:
     """Texts by length, the longest first: the walks of all take each jump together."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -209,15 +242,40 @@ def _cuts(column: pa.Array) -> Iterator[tuple[int, int]]:
         yield lo, len(column)
 
 
-def range_ends(ids: DataFrame, parts: int) -> np.ndarray:
-    """The largest id of each range of ids; as many numbers as there are ranges."""
+ENDS = np.dtype([("id", np.int64), ("tie", np.int64)])
+
+
+def range_ends(keys: DataFrame, parts: int) -> np.ndarray:
+    """The largest (id, tie) of each range of them; as many as there are ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = [pa.compute.max(b.column(0)).as_py() for b in batches if b.num_rows]
-        if most:
-            yield pa.RecordBatch.from_arrays([pa.array([max(most)], pa.int64())], ["high"])
+        most = None
+        for b in batches:
+            own = _pairs(np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64))
+            if len(own):
+                top = own[np.lexsort((own["tie"], own["id"]))[-1:]]
+                most = top if most is None or most[0].tolist() < top[0].tolist() else most
+        if most is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(most["id"]), pa.array(most["tie"])], ["id", "tie"])
+
+    found = sorted({(r["id"], r["tie"]) for r in keys.repartitionByRange(parts, "id", "tie").mapInArrow(shipped(run), "id long, tie long").collect()})
+    return np.array(found, ENDS)
+
+
+def _pairs(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    out = np.empty(len(ids), ENDS)
+    out["id"], out["tie"] = ids, ties
+    return out
+
 
-    return np.unique([r["high"] for r in ids.repartitionByRange(parts, "id").mapInArrow(shipped(run), "high long").collect()]).astype(np.int64)
+def _range_of(ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The number of the range that each key is in."""
+    order = np.lexsort((np.concatenate([keys["tie"], ends["tie"]]), np.concatenate([keys["id"], ends["id"]])))
+    # Of equal ones, keys come first, as the sort is stable: a range's end belongs to it.
+    is_end = order >= len(keys)
+    part = np.empty(len(order), np.int64)
+    part[order] = np.cumsum(is_end) - is_end
+    return part[: len(keys)]
 
 
 PRINTED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_bands_edited int, shared_bands_next int"
@@ -227,12 +285,18 @@ def print_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The fingerprints of each document and of its edited text, and likenesses to that and to the next document.
 
     The next document is the one before in ascending order, and the last of all for the first. Texts go, compressed, to
-    ranges of ids; the last of a range goes to the next range as well, as the neighbour of its first.
+    ranges of ids, and of a hash of the text where ids are null or equal; the last of a range goes to the next range as
+    well, as the neighbour of its first. Only rows alike in id and text are never parted.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST)).alias("id"), F.col(doc_id).isNull().alias("unnamed"), text_of(text).alias("body"))
-    ends = range_ends(slim.select("id"), parts)
+
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hash_bytes(t.as_buffer().to_pybytes(), 0) for t in batch.column(1)], pa.int64())], ["id", "tie"])
+
+    ends = range_ends(slim.select("id", "body").mapInArrow(shipped(tied), "id long, tie long"), parts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -240,11 +304,12 @@ def print_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             for lo, hi in _cuts(batch.column("body")):
                 own = batch.slice(lo, hi - lo)
                 ids = np.asarray(own.column("id"), np.int64)
-                part = np.searchsorted(ends, ids)
                 raw = [t.as_buffer().to_pybytes() for t in own.column("body")]
                 packed = pa.array([pack(t) for t in raw], pa.binary())
                 tie = np.array([hash_bytes(t, 0) for t in raw], np.int64)
-                last = np.flatnonzero(ids == ends[part])
+                keys = _pairs(ids, tie)
+                part = _range_of(ends, keys)
+                last = np.flatnonzero(keys == ends[part])
                 take = pa.array(np.concatenate([np.arange(len(ids)), last]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([part, (part[last] + 1) % len(ends)]), pa.int32()), pa.array(np.arange(len(take)) >= len(ids)), pa.array(ids).take(take), own.column("unnamed").take(take), pa.array(tie).take(take), packed.take(take)],

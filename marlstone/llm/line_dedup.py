@@ -5,8 +5,12 @@ of lines with a smaller id. A round doubles the depth: suffixes are ranked by th
 of the suffix that many lines on, so a suffix's new rank is its old one plus the number of suffixes of its group with a
 smaller second rank. Suffixes of equal rank at a depth are an interval of the suffix array with at least that longest
 common prefix. The array is sorted as deep as the shortest run that counts, min_lines: deeper rounds would only order
-suffixes inside those intervals. Neighbouring members of intervals overlap into the maximal repeated runs; of every
-interval the first occurrence (by document id, then place) stays and the lines of all later ones go.
+suffixes inside those intervals, and no line goes or stays by that order.
+
+Of every interval the first occurrence (by document id, then place) stays. Maximal runs come from the intervals by
+alignment: as long as a document's suffixes, one place after the other, have their first occurrences one place after
+the other as well, they are one run, and its length is the longest common prefix of its first suffix with its source.
+All lines of such runs go.
 
 Ranks are prefix sums over counts in two levels (ranges, then inside a range), so no task holds a group: a line that a
 third of all documents have is one row of the counts. Only the joins that carry ranks back to lines see it, and Spark
@@ -14,7 +18,8 @@ splits those. Each round is written to the shared folder.
 
 Defined results: null, empty and white texts have no lines and stay as they are; a null id counts as larger than all
 others; rows alike in id and text count as one document and get the same result; equal ids with different texts stand in
-the order of a hash of the text; an empty table gives an empty one. Extra columns are passed on; those named like a
+the order of a hash of the text; a very long text is one row as long as its lines are rows of their own; an empty table
+gives an empty one. Extra columns are passed on; those named like a
 result column give way.
 """
 
@@ -23,10 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import WHITE, kept_where, materialise, text_of
+from marlstone.llm.common import WHITE, discard, kept_where, materialise, text_of
 
 MIN_LINES = 3
-RANGES = 4096
+RANGES = 1024
 LAST = (1 << 63) - 1
 
 
@@ -47,7 +52,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def first_ranks(lines: DataFrame) -> DataFrame:
     """(id, tk, pos, rank): the number of lines with a smaller line id."""
-    counts = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.shiftright("line", 52))
+    counts = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.shiftright("line", 54))
     ahead = _starts(counts, [], "range", "line")
     return lines.join(ahead, "line").select("id", "tk", "pos", F.col("start").alias("rank"))
 
@@ -78,33 +83,45 @@ def doubled(ranks: DataFrame, depth: int, total: int) -> DataFrame:
 
 
 def later_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """(id, tk, starts): of each document the places at which a run of min_lines lines begins that occurs before."""
+    """(id, tk, start, length, source_id, source_tk, source_start): the maximal runs of at least min_lines lines that repeat.
+
+    A run lies in document (id, tk) at `start`, counted in lines with a word, and as well, before that, in the source.
+    """
     slim = keyed(docs.select(doc_id, text), doc_id, text)
     lines = slim.select("id", "tk", F.posexplode(F.transform(F.filter(split_lines(F.col("body")), has_word), lambda x: F.xxhash64(x))).alias("pos", "line"))
     lines = materialise(lines, "lines")
     ranks, depth = materialise(first_ranks(lines), "ranks"), 1
+    discard(lines)
     total = ranks.count()
     while depth * 2 <= min_lines:
-        ranks, depth = materialise(doubled(ranks, depth, total), "ranks"), depth * 2
+        before, ranks, depth = ranks, materialise(doubled(ranks, depth, total), "ranks"), depth * 2
+        discard(before)
     # Depth min_lines in one more step, by two prefixes that overlap; suffixes that end before are in no run.
     tops = with_next(ranks, min_lines - depth) if min_lines > depth else ranks.withColumn("next", F.col("rank"))
     last = Window.partitionBy("id", "tk")
     tops = tops.withColumn("end", F.max("pos").over(last)).filter(F.col("pos") + (min_lines - 1) <= F.col("end")).drop("end")
     place = F.struct("id", "tk", "pos")
     groups = tops.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    again = tops.join(groups, ["rank", "next"]).filter(place != F.col("first"))
-    return again.groupBy("id", "tk").agg(F.collect_set("pos").alias("starts"))
+    again = tops.join(groups, ["rank", "next"]).filter(place != F.col("first")).select("id", "tk", "pos", "first")
+    # A suffix goes on with the run of the one before it if both are one place further than theirs.
+    previous = Window.partitionBy("id", "tk").orderBy("pos")
+    follows = F.lag("pos").over(previous) == F.col("pos") - 1
+    moved = F.lag("first").over(previous) == F.struct(F.col("first.id"), F.col("first.tk"), F.col("first.pos") - 1)
+    runs = again.withColumn("run", F.sum(F.when(follows & moved, 0).otherwise(1)).over(previous))
+    runs = runs.groupBy("id", "tk", "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    source = [F.col(f"first.{c}").alias(f"source_{n}") for c, n in (("id", "id"), ("tk", "tk"), ("pos", "start"))]
+    return runs.select("id", "tk", "start", (F.col("n") + (min_lines - 1)).cast("int").alias("length"), *source)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """docs with the text cut, and n_lines, n_removed (lines with a word) added."""
     results = ("n_lines", "n_removed")
-    starts = later_runs(docs, doc_id, text, min_lines)
-    rows = keyed(docs, doc_id, text).join(starts, ["id", "tk"], "left")
+    runs = later_runs(docs, doc_id, text, min_lines).groupBy("id", "tk").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
+    rows = keyed(docs, doc_id, text).join(runs, ["id", "tk"], "left")
     rows = rows.withColumn("lines", split_lines(F.col("body")))
     # Places of lines with a word, in the order in which runs count them.
     rows = rows.withColumn("worded", F.filter(F.transform("lines", lambda x, i: F.when(has_word(x), i)), lambda i: i.isNotNull()))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_lines - 1)))))
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1))))
     rows = rows.withColumn("gone", F.transform(covered, lambda k: F.get("worded", k)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     cut = F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))

@@ -8,7 +8,7 @@ document, whatever the offset.
 
 A running sum over a source would put a third of all rows in one task, so it is a rank found in levels: counts by
 (source, size, digest bucket), prefix sums over those counts, and a row number inside a bucket. The digest bucket
-splits groups of equal size 4096 ways.
+splits groups of equal size 256 ways. Only sums for each source, a row each, are ordered in one task.
 
 Defined results: a null text counts as empty (size 0) and a null source is a source of its own, last in the order;
 sources whose words are all zero have target 0 and none of their documents is taken; an empty table gives an empty
@@ -77,7 +77,7 @@ def plan_copies(
         source_key(F.col(source)).alias("skey"),
         count_words(text_of(text)).alias("size"),
         F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("digest"),
-    ).withColumn("bucket", F.substring("digest", 1, 3))
+    ).withColumn("bucket", F.substring("digest", 1, 2))
 
     counts = sized.groupBy("skey", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     by_size = counts.groupBy("skey", "size").agg(F.sum("n").alias("n_size"))

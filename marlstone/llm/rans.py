@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import checkpoint_root, shipped, text_of
+from marlstone.llm.common import folder, shipped, text_of
 from marlstone.llm.encoder import default_path, encoder
 from marlstone.llm.wordhash import text_groups
 
@@ -218,11 +218,11 @@ def frequencies(ids: DataFrame, width: int, doc: str = "ids") -> DataFrame:
 BLOCKS = "part int, seq int, before long, n_tokens long, payload binary"
 
 
-def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID) -> None:
-    """Encodes every document into the files of the format under folder."""
+def write(docs: DataFrame, to: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID) -> None:
+    """Encodes every document into the files of the format under the folder `to`."""
     spark, path = docs.sparkSession, path or default_path()
     width = width_of(path, end_id)
-    held = f"{folder}/ids"
+    held = f"{to}/ids"
     token_ids(docs, doc_id, text, path, end_id).write.option("compression", "zstd").parquet(held)
     ids = spark.read.schema("doc_id long, ids binary").parquet(held)
     # As many rows as the vocabulary has entries, however large the corpus.
@@ -231,7 +231,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     for r in counts:
         n[r["id"]] = r["n"]
     freq = normalised(n)
-    spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f], "id long, freq long").coalesce(1).write.parquet(f"{folder}/table")
+    spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f], "id long, freq long").coalesce(1).write.parquet(f"{to}/table")
     parts = max(1, -(-int(n.sum()) // PART_TOKENS), spark.sparkContext.defaultParallelism if int(n.sum()) > PART_TOKENS else 1)
     kind = f"<u{width}"
 
@@ -266,17 +266,19 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
             waiting.append((names, arrays, n_own))
         yield from flush()
 
-    ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(shipped(run), BLOCKS).write.parquet(f"{folder}/blocks")
+    # Ranges go by id and content, so that rows with null or equal ids are spread as well.
+    order = (F.col("doc_id").asc_nulls_first(), F.col("ids").asc())
+    ordered = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.mapInArrow(shipped(run), BLOCKS).write.parquet(f"{to}/blocks")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids) of the files under folder: ids as little-endian uint32, start the ids of all documents before."""
-    table = spark.read.schema("id long, freq long").parquet(f"{folder}/table").collect()
+def read(spark: SparkSession, where: str) -> DataFrame:
+    """(doc_id, start, ids) of the files under the folder `where`: ids as little-endian uint32, start the ids of all documents before."""
+    table = spark.read.schema("id long, freq long").parquet(f"{where}/table").collect()
     freq = np.zeros(1 + max([r["id"] for r in table], default=0), np.int64)
     for r in table:
         freq[r["id"]] = r["freq"]
-    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{where}/blocks")
     # A row for each part, that is for PART_TOKENS ids, so the running sum and the broadcast stay small: 16 bytes for 16 MB.
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
@@ -304,9 +306,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, **how) -> DataFrame:
     """Writes docs in the file format in the shared folder and reads the files back."""
-    import uuid
-
-    spark = docs.sparkSession
-    folder = f"{checkpoint_root(spark)}/marlstone-rans-{uuid.uuid4().hex}"
-    write(docs, folder, **how)
-    return read(spark, folder)
+    where = folder(docs.sparkSession, "rans")
+    write(docs, where, **how)
+    return read(docs.sparkSession, where)

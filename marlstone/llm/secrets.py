@@ -96,7 +96,8 @@ def scan(
     """For each row doc_id, found (array of kind, start, end, owned, owners, repositories by start), numbers by kind, n_owned and n_shared."""
     all_rows = candidates(docs, doc_id, text, owner, list(repository))
     found = spans(all_rows)
-    verdicts = ownership(found).withColumn("owned", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    # A table of its own, so that the join below has no aggregation on its exchange and Spark can split a value that many hold.
+    verdicts = materialise(ownership(found).withColumn("owned", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)), "owners")
     base = F.col("kind") < len(BASE)
     # Spans before in order of start that reach over this one's start, and later ones that start before its end.
     in_text = Window.partitionBy("rid").orderBy("start", "kind")
