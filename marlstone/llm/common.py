@@ -120,6 +120,19 @@ def give_back() -> None:
         trim(0)
 
 
+BATCH_BYTES = 6_000_000
+
+
+def _bound_batches() -> None:
+    """Batches of rows on their way to Python have a bounded number of bytes, unless the session has a smaller bound of its own."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is None:
+        return
+    now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+    if not 0 < now < BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shipped(function, *broadcasts):
     """A function for mapInArrow that also works where workers don't find this package by themselves.
 
@@ -127,6 +140,7 @@ def shipped(function, *broadcasts):
     Broadcast variables that the function uses are named, so that Spark sends them with it.
     """
     payload, root = cloudpickle.dumps(function), str(Path(__file__).resolve().parents[2])
+    _bound_batches()
 
     def run(batches):
         import importlib.util

@@ -8,10 +8,13 @@ candidates, and none is lost. A set ignores a few of its parts that tell least,
 documents share doesn't make them candidates. Tiles are met by hash, map-side combined: of the classes that share a tile in one chunk
 only one goes on, with edges to the others, so the classes of a common tile never meet in one task.
 
-Candidates form groups (components of the tile edges). A group's arrays come to one task; larger groups are dealt into
-blocks by size, and pairs of blocks that sizes allow go to a task each. There, the bits in which two hashed bitmaps
-differ bound the overlap from above, and the pairs that pass are settled by exact intersection, unless they are
-already connected: what is asked for is connection, so copies are not expanded into all pairs.
+Candidates form groups (components of the tile edges). Documents that share passages make long chains of candidates, so
+groups are refined first by what costs little to send: every class has a hashed bitmap of about two bits to a shingle,
+and the bits in which two bitmaps differ bound their overlap from above. Pairs whose bound allows a link make the new
+groups; a true link is always among them. Then a group's arrays come to one task, and there the pairs that the bound
+lets through are settled by exact intersection, unless they are already connected: what is asked for is connection, so
+copies are not expanded into all pairs. In both steps larger groups are dealt into blocks by size, and pairs of blocks
+that sizes allow go to a task each.
 
 Hashes of shingles and of sets have 64 bits: two different ones are taken for the same with a chance of about 2**-64,
 unless someone who knows the constants makes them so.
@@ -44,6 +47,7 @@ from marlstone.llm.wordhash import U64, Words, mix, text_groups
 WORDS, PERCENT = 3, 90
 CHUNK_SIGNATURES = 400_000
 BLOCK, SMALL = 2048, 1000
+LEAST_BITS = 512
 HEAVY_BITS, BITMAP_BYTES = 1 << 23, 1 << 23
 HEAVY_SHARE, COUNTED = 0.0005, 500_000
 _K = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
@@ -162,6 +166,54 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return grid.view(U64)
 
 
+def width(size: int) -> int:
+    """The bits in the bitmap of a class: a power of two, two bits to a shingle or more."""
+    return max(LEAST_BITS, 1 << (2 * size - 1).bit_length())
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, by the low bits of a hash: one of half the width is the two halves laid over each other."""
+    bits = width(len(s))
+    grid = np.zeros(bits >> 3, np.uint8)
+    at = ((s * U64(_K[5]) >> U64(20)) & U64(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(grid, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return grid.view(U64)
+
+
+def may_link(sizes: np.ndarray, maps: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
+    """Labels of the components of all pairs whose bitmaps allow a link. With side, only pairs across sides are looked at."""
+    order = np.argsort(sizes, kind="stable")
+    size = sizes[order]
+    wide = np.array([len(maps[k]) for k in order])
+    label = np.arange(len(size))
+    have, first, grid = 0, 0, None
+    for i in range(len(size) - 1):
+        top = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
+        if top == i + 1:
+            continue
+        if wide[i] != have:
+            # Rows of this width, and wider ones that their sizes allow, folded to it.
+            have, first = int(wide[i]), i
+            last = int(np.searchsorted(size, size[int(np.searchsorted(wide, have, "right")) - 1] * 100 // percent, "right"))
+            grid = np.empty((last - i, have), U64)
+            for row, k in zip(grid, order[i:last]):
+                row[:] = np.bitwise_or.reduce(maps[k].reshape(-1, have), axis=0)
+        j = np.arange(i + 1, top)
+        j = j[label[j] != label[i]]
+        if side is not None:
+            j = j[side[order[j]] != side[order[i]]]
+        if not len(j):
+            continue
+        differ = np.bitwise_count(grid[j - first] ^ grid[i - first]).sum(axis=1, dtype=np.int64)
+        most = np.minimum((size[i] + size[j] - differ) // 2, size[i])
+        joined = np.unique(np.append(label[j[100 * most >= percent * (size[i] + size[j] - most)]], label[i]))
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    out = np.empty(len(size), np.int64)
+    out[order] = label
+    return out
+
+
 def connect(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
     """Labels of the sets' components. With side (0 or 1 for each set), only pairs across sides are looked at."""
     order = np.array(sorted(range(len(sets)), key=lambda k: len(sets[k])))
@@ -238,7 +290,8 @@ PASS, MET = "kind string, r int, x binary, y binary, z binary", "kind string, x
 
 
 def tile_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, reducers: int) -> DataFrame:
-    """Reads each text and gives, by kind: d (ids, sizes, classes of documents) and e (classes that share a tile, as stars).
+    """Reads each text and gives, by kind: d (ids, sizes, classes of documents), b (classes, sizes and bitmaps, once for a
+    chunk) and e (classes that share a tile, as stars).
 
     Of the classes of a chunk that share a tile one goes on, to the task that has the tile, with edges to the others; the
     tasks make stars of what meets with them and hand the rest on.
@@ -247,6 +300,7 @@ def tile_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles: list[np.ndarray] = []
         nodes: list[int] = []
+        shown: list[tuple[int, np.ndarray]] = []
         seen: set[int] = set()
         total, turn = 0, TaskContext.get().partitionId() * 7
 
@@ -254,9 +308,11 @@ def tile_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
             return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([r], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["kind", "r", "x", "y", "z"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal tiles, nodes, total
+            nonlocal tiles, nodes, shown, total
             if not total:
                 return
+            yield row("b", (turn + 1) % reducers, np.array(nodes, np.int64), np.array([n for n, _ in shown], np.int64), np.concatenate([m for _, m in shown]))
+            shown = []
             tile, node = np.concatenate(tiles), np.repeat(np.array(nodes, np.int64), [len(t) for t in tiles])
             tiles, nodes, total = [], [], 0
             order = np.argsort(tile, kind="stable")
@@ -295,6 +351,7 @@ def tile_pass(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
                     own = signatures(s, percent, heavy.value)
                     if len(own):
                         tiles.append(own)
+                        shown.append((len(s), bitmap(s)))
                         nodes.append(h - (1 << 64) if h >> 63 else h)
                         total += len(own)
             if total >= CHUNK_SIGNATURES:
@@ -341,6 +398,11 @@ def _unpack(rows: DataFrame, schema: str, columns) -> DataFrame:
     return rows.select("x", "y", "z").mapInArrow(shipped(run), schema)
 
 
+def _bitmap_rows(nodes: np.ndarray, sizes: np.ndarray, blob: np.ndarray) -> list[pa.Array]:
+    ends = np.concatenate([[0], np.cumsum([width(n) >> 3 for n in sizes.tolist()])]).astype(np.int32)
+    return [pa.array(nodes), pa.array(sizes), pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(ends), pa.py_buffer(blob.tobytes())])]
+
+
 def class_sets(docs: DataFrame, text: str, words: int, grid) -> DataFrame:
     """(node, s): the arrays of the classes that the filter lets through, once for each task at most."""
 
@@ -361,7 +423,7 @@ def class_sets(docs: DataFrame, text: str, words: int, grid) -> DataFrame:
 
 
 def verified(sets: DataFrame, percent: int) -> DataFrame:
-    """From (root, i, j, blk, node, s), with all rows of a (root, i, j) in one task and in a row: (a, b, split) stars of linked classes."""
+    """From (root, i, j, blk, n, node, s), with all rows of a (root, i, j) in one task and in a row: (a, b, split) stars of linked classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -399,7 +461,8 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 
     named = _unpack(parts.filter("kind = 'd'"), "doc_id long, n long, node long", lambda x, y, z: [pa.array(x, mask=y < 0), pa.array(np.where(y < 0, -1 - y, y)), pa.array(z)])
     met = _unpack(parts.filter("kind = 'e'"), "a long, b long", lambda x, y, _: [pa.array(x), pa.array(y)])
-    candidates = components(met)
+    maps = _unpack(parts.filter("kind = 'b'"), "node long, n long, bits binary", _bitmap_rows)
+    candidates = refined(components(met), maps, percent, block)
     roots = resolve(docs, text, named, materialise(candidates, "candidates", few_files=True), words, percent, block)
 
     full = named.filter("n > 0").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
@@ -408,12 +471,13 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     return with_sets.union(named.filter("n = 0").select("doc_id", "n", "doc_id"))
 
 
-def resolve(docs: DataFrame, text: str, named: DataFrame, candidates: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """(node, root) of the true components, for classes that have a link."""
-    sizes = candidates.join(named.select("node", "n").distinct(), "node")
-    # Blocks of a group by size: from sums for each size, and by hash among equal sizes. A block has up to `block` small
-    # arrays, or as many values as that many arrays of SMALL.
-    weight = F.col("many") * F.greatest(F.lit(1.0), F.col("n") / SMALL)
+def dealt_blocks(sizes: DataFrame, percent: int, block: int, small: int) -> DataFrame:
+    """From (node, root, n): (node, n, root, blk, tasks), every group in blocks by size, with a list of the tasks (i, j) that a block takes part in.
+
+    A block has up to `block` classes of at most `small` shingles, or as many shingles as that many of these.
+    """
+    # Blocks by size: from sums for each size, and by hash among equal sizes.
+    weight = F.col("many") * F.greatest(F.lit(1.0), F.col("n") / small)
     counts = sizes.groupBy("root", "n").agg(F.count(F.lit(1)).alias("many")).withColumn("weight", weight)
     upward = Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("root", "n", "weight", F.coalesce(F.sum("weight").over(upward), F.lit(0.0)).alias("ahead"), F.sum("weight").over(Window.partitionBy("root")).alias("all"))
@@ -426,15 +490,56 @@ def resolve(docs: DataFrame, text: str, named: DataFrame, candidates: DataFrame,
     allowed = (F.col("l.root") == F.col("r.root")) & (F.col("l.blk") <= F.col("r.blk")) & (100 * F.col("l.high") >= percent * F.col("r.low"))
     tasks = l.join(r, allowed).select(F.col("l.root").alias("root"), F.col("l.blk").alias("i"), F.col("r.blk").alias("j"))
     sides = tasks.select("root", F.col("i").alias("blk"), "i", "j").union(tasks.filter("i != j").select("root", F.col("j").alias("blk"), "i", "j"))
-    # A list for each block of the tasks it takes part in; one task for all but the largest groups.
+    # One task for all but the largest groups.
     sides = sides.groupBy("root", "blk").agg(F.collect_list(F.struct("i", "j")).alias("tasks"))
+    return dealt.join(sides, ["root", "blk"])
+
 
-    # False hits, of which there are more when the filter has reached its bound, only cost the shuffle of their arrays.
+def to_tasks(placed: DataFrame, column: str) -> DataFrame:
+    """(root, i, j, blk, n, node, column) with all rows of a task (root, i, j) in one partition and in a row."""
+    placed = placed.select("root", F.explode("tasks").alias("t"), "blk", "n", "node", column).select("root", "t.i", "t.j", "blk", "n", "node", column)
+    return placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+
+def refined(candidates: DataFrame, bitmaps_: DataFrame, percent: int, block: int) -> DataFrame:
+    """(node, root): the groups that are left of candidates when only pairs whose bitmaps allow a link count. bitmaps_: (node, n, bits), repeated ones allowed."""
+    sizes = candidates.join(bitmaps_.select("node", "n").distinct(), "node")
+    # Bitmaps are about a thirtieth of arrays.
+    placed = to_tasks(bitmaps_.select("node", "bits").join(dealt_blocks(sizes, percent, 4 * block, 8 * SMALL), "node"), "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            names = np.array(list(held), np.int64)
+            blk, size = (np.array([v[k] for v in held.values()]) for k in (0, 1))
+            label = may_link(size, [v[2] for v in held.values()], blk if key[1] != key[2] else None, percent)
+            other = label != np.arange(len(label))
+            if other.any():
+                yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[label][other])], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "blk", "n", "node")]
+            for *own, blk, n, node, bits in zip(*columns, batch.column("bits")):
+                if own != key:
+                    yield from settle()
+                    key, held = own, {}
+                if node not in held:
+                    held[node] = (blk, n, np.frombuffer(bits.as_buffer(), U64).copy())
+        yield from settle()
+
+    return components(placed.mapInArrow(shipped(run), "a long, b long"))
+
+
+def resolve(docs: DataFrame, text: str, named: DataFrame, candidates: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """(node, root) of the true components, for classes that have a link."""
+    sizes = candidates.join(named.select("node", "n").distinct(), "node")
+    dealt = dealt_blocks(sizes, percent, block, SMALL)
     grid = docs.sparkSession.sparkContext.broadcast(bitfilter.build(candidates, "node", bitfilter.bits_for(candidates.count())))
     arrays = class_sets(docs, text, words, grid)
-    placed = arrays.join(dealt.join(sides, ["root", "blk"]).select("node", "root", "blk", "tasks"), "node")
-    placed = placed.select("root", F.explode("tasks").alias("t"), "blk", "node", "s").select("root", "t.i", "t.j", "blk", "node", "s")
-    placed = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    placed = to_tasks(arrays.join(dealt, "node"), "s")
     links = materialise(verified(placed, percent), "links")
 
     settled = links.filter("NOT split")

@@ -118,3 +118,34 @@ def test_keep_one_goes_by_rows(spark):
     assert len(nulls) == 1 and nulls[0] in (fourth, fourth + "x")
     assert kept == Counter([(1, first), (2, second), (None, nulls[0]), (5, ""), (5, ""), (None, None), *[r for r in kept if r in ((3, third), (3, third + "x"))]])
     assert sum(n for (d, _), n in kept.items() if d == 3) == 1
+
+
+def test_bitmaps_bound_from_above():
+    """Whatever links, by exact sets, is allowed by the bitmaps, of equal and of different widths; a bitmap folds to half its width."""
+    rng = np.random.default_rng(11)
+    sets = []
+    for n in (1, 2, 9, 120, 250, 260, 290, 520, 1100):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for _ in range(6):
+            keep = rng.permutation(base)[rng.integers(0, n // 9 + 1) :]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, rng.integers(0, n // 9 + 1), dtype=np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    sizes, maps = np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets]
+    for side in (None, rng.integers(0, 2, len(sets))):
+        label = ngram_join.may_link(sizes, maps, side, 80)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if (side is None or side[i] != side[j]) and ngram_join.linked(ngram_join.overlap(a, b), len(a), len(b), 80):
+                    assert label[i] == label[j]
+        assert len(np.unique(label)) >= (9 if side is None else 2)
+    apart = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(30)]
+    assert len(np.unique(ngram_join.may_link(np.array([len(s) for s in apart]), [ngram_join.bitmap(s) for s in apart], None, 80))) == 30
+    grid = ngram_join.bitmap(apart[0])
+    assert (np.bitwise_or.reduce(grid.reshape(2, -1), axis=0).sum() > 0) and len(grid) * 64 == ngram_join.width(len(apart[0]))
+
+
+def test_one_large_set_among_small_ones_takes_bounded_memory():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (200_000, *[30] * 900)]
+    assert ngram_join.bitmaps(sets).nbytes <= ngram_join.BITMAP_BYTES
+    assert len(np.unique(ngram_join.connect(sets, None, 90))) == len(sets)
