@@ -13,8 +13,12 @@ groups are refined first by what costs little to send: every class has a hashed
 and the bits in which two bitmaps differ bound their overlap from above. Pairs whose bound allows a link make the new
 groups; a true link is always among them. Then a group's arrays come to one task, and there the pairs that the bound
 lets through are settled by exact intersection, unless they are already connected: what is asked for is connection, so
-copies are not expanded into all pairs. In both steps larger groups are dealt into blocks by size, and pairs of blocks
-that sizes allow go to a task each.
+copies are not expanded into all pairs.
+
+Larger groups are dealt into blocks by size. For bitmaps, pairs of blocks that sizes allow go to a task each. Arrays are
+settled inside each block first, then inside other blocks dealt by hash, so that the parts of one large group of copies
+find each other with every array sent twice, whatever the group's size. Only classes that are then outside their group's
+largest component are compared, in blocks of their own, with all blocks of the group.
 
 Hashes of shingles and of sets have 64 bits: two different ones are taken for the same with a chance of about 2**-64,
 unless someone who knows the constants makes them so.
@@ -214,12 +218,13 @@ def may_link(sizes: np.ndarray, maps: list[np.ndarray], side: np.ndarray | None,
     return out
 
 
-def connect(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
-    """Labels of the sets' components. With side (0 or 1 for each set), only pairs across sides are looked at."""
+def connect(sets: list[np.ndarray], side: np.ndarray | None, percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Labels of the sets' components. With side (0 or 1 for each set), only pairs across sides are looked at; sets with
+    equal `known` are connected already."""
     order = np.array(sorted(range(len(sets)), key=lambda k: len(sets[k])))
     sets = [sets[k] for k in order]
     size = np.array([len(s) for s in sets], np.int64)
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1][order]
     bits = bitmaps(sets)
     for i in range(len(sets) - 1):
         # Sizes ascend: partners of i end where i is too small for them.
@@ -422,8 +427,14 @@ def class_sets(docs: DataFrame, text: str, words: int, grid) -> DataFrame:
     return docs.select(text_of(text).alias("body")).mapInArrow(shipped(run, grid), "node long, s binary")
 
 
-def verified(sets: DataFrame, percent: int) -> DataFrame:
-    """From (root, i, j, blk, n, node, s), with all rows of a (root, i, j) in one task and in a row: (a, b, split) stars of linked classes."""
+def verified(placed: DataFrame, percent: int) -> DataFrame:
+    """From (root, i, j, side, label, node, s): (a, b, split) stars of linked classes for each task (root, i, j).
+
+    side: only classes of side 0 and 1 are compared with each other; -1 for all with all. label: what a class is known to
+    be connected to. split: whether the task was a part of its group.
+    """
+    columns = ["root", "i", "j", "side", "label", "node"]
+    placed = placed.select(*columns, "s").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -431,9 +442,9 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
         def settle() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
-            names = np.array(list(held), np.int64)
-            blk = np.array([v[0] for v in held.values()])
-            label = connect([v[1] for v in held.values()], blk if key[1] != key[2] else None, percent)
+            side, names = (np.array(x, np.int64) for x in zip(*held))
+            known = np.array([v[0] for v in held.values()], np.int64)
+            label = connect([v[1] for v in held.values()], side if side[0] >= 0 else None, percent, known)
             # The smallest class of each component is its star's middle.
             least = np.full(len(names), np.iinfo(np.int64).max)
             np.minimum.at(least, label, names)
@@ -442,15 +453,15 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(least[label][other]), pa.array([key[1] > 0] * int(other.sum()))], ["a", "b", "split"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "blk", "node")]
-            for *own, blk, node, s in zip(*columns, batch.column("s")):
+            for *own, side, label, node, s in zip(*(batch.column(c).to_pylist() for c in columns), batch.column("s")):
                 if own != key:
                     yield from settle()
                     key, held = own, {}
-                held[node] = (blk, np.frombuffer(s.as_buffer(), U64).copy())
+                if (side, node) not in held:
+                    held[side, node] = (label, np.frombuffer(s.as_buffer(), U64).copy())
         yield from settle()
 
-    return sets.select("root", "i", "j", "blk", "node", "s").mapInArrow(shipped(run), "a long, b long, split boolean")
+    return placed.mapInArrow(shipped(run), "a long, b long, split boolean")
 
 
 def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -471,8 +482,8 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     return with_sets.union(named.filter("n = 0").select("doc_id", "n", "doc_id"))
 
 
-def dealt_blocks(sizes: DataFrame, percent: int, block: int, small: int) -> DataFrame:
-    """From (node, root, n): (node, n, root, blk, tasks), every group in blocks by size, with a list of the tasks (i, j) that a block takes part in.
+def dealt_blocks(sizes: DataFrame, block: int, small: int) -> DataFrame:
+    """From (node, root, n): (node, root, n, blk), every group in blocks by size.
 
     A block has up to `block` classes of at most `small` shingles, or as many shingles as that many of these.
     """
@@ -485,6 +496,11 @@ def dealt_blocks(sizes: DataFrame, percent: int, block: int, small: int) -> Data
     # Block 0 is a whole group; the blocks of a larger one count from 1.
     number = F.when(F.col("all") <= block, 0).otherwise(1 + F.floor((F.col("ahead") + share * F.col("weight")) / block)).cast("int")
     dealt = materialise(sizes.join(counts, ["root", "n"]).select("node", "root", "n", number.alias("blk")), "blocks", few_files=True)
+    return dealt
+
+
+def with_tasks(dealt: DataFrame, percent: int) -> DataFrame:
+    """dealt with a list of the pairs of blocks (i, j) that a block takes part in and that sizes allow."""
     blocks = dealt.groupBy("root", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     l, r = blocks.alias("l"), blocks.alias("r")
     allowed = (F.col("l.root") == F.col("r.root")) & (F.col("l.blk") <= F.col("r.blk")) & (100 * F.col("l.high") >= percent * F.col("r.low"))
@@ -505,7 +521,7 @@ def refined(candidates: DataFrame, bitmaps_: DataFrame, percent: int, block: int
     """(node, root): the groups that are left of candidates when only pairs whose bitmaps allow a link count. bitmaps_: (node, n, bits), repeated ones allowed."""
     sizes = candidates.join(bitmaps_.select("node", "n").distinct(), "node")
     # Bitmaps are about a thirtieth of arrays.
-    placed = to_tasks(bitmaps_.select("node", "bits").join(dealt_blocks(sizes, percent, 4 * block, 8 * SMALL), "node"), "bits")
+    placed = to_tasks(bitmaps_.select("node", "bits").join(with_tasks(dealt_blocks(sizes, 4 * block, 8 * SMALL), percent), "node"), "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -536,17 +552,46 @@ def refined(candidates: DataFrame, bitmaps_: DataFrame, percent: int, block: int
 def resolve(docs: DataFrame, text: str, named: DataFrame, candidates: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     """(node, root) of the true components, for classes that have a link."""
     sizes = candidates.join(named.select("node", "n").distinct(), "node")
-    dealt = dealt_blocks(sizes, percent, block, SMALL)
-    grid = docs.sparkSession.sparkContext.broadcast(bitfilter.build(candidates, "node", bitfilter.bits_for(candidates.count())))
-    arrays = class_sets(docs, text, words, grid)
-    placed = to_tasks(arrays.join(dealt, "node"), "s")
-    links = materialise(verified(placed, percent), "links")
+    dealt = dealt_blocks(sizes, block, SMALL)
 
+    def arrays(nodes: DataFrame) -> DataFrame:
+        """Rows of nodes with their arrays, once for each task that has the class and each row of nodes."""
+        # False hits, of which there are more when the filter has reached its bound, only cost the shuffle of their arrays.
+        names = nodes.select("node").distinct()
+        grid = docs.sparkSession.sparkContext.broadcast(bitfilter.build(names, "node", bitfilter.bits_for(names.count())))
+        return class_sets(docs, text, words, grid).join(nodes, "node")
+
+    alone = [F.lit(-1).alias("side"), F.col("node").alias("label")]
+    links = materialise(verified(arrays(dealt.select("node", "root", F.col("blk").alias("i"), F.col("blk").alias("j"), *alone)), percent), "links")
     settled = links.filter("NOT split")
     roots = settled.select(F.col("a").alias("node"), F.col("b").alias("root")).union(settled.select("b", "b").distinct())
-    if links.filter("split").isEmpty():
+    parted = dealt.filter("blk > 0")
+    if parted.isEmpty():
         return roots
-    return roots.union(components(links.filter("split").select("a", "b")))
+
+    # The same groups in other blocks, by hash: parts of one component find each other.
+    blocks = parted.groupBy("root").agg(F.max("blk").alias("blocks"))
+    other = (1 + F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).cast("int")
+    crossed = parted.join(blocks, "root").select("node", "root", other.alias("i"), other.alias("j"), *alone)
+    links = materialise(links.filter("split").union(verified(arrays(crossed), percent)).select("a", "b"), "links")
+
+    # What is outside its group's largest component, against all of the group.
+    labels = components(links).withColumnRenamed("root", "label")
+    known = materialise(parted.join(labels, "node", "left").select("node", "root", "n", "blk", F.coalesce("label", "node").alias("label")), "labels", few_files=True)
+    largest = known.groupBy("root", "label").agg(F.count(F.lit(1)).alias("many")).groupBy("root").agg(F.max(F.struct("many", "label")).alias("top"))
+    outside = known.join(largest, "root").filter(F.col("label") != F.col("top.label")).drop("top")
+    if not outside.isEmpty():
+        few = dealt_blocks(outside.select("node", "root", "n"), block, SMALL).withColumnRenamed("blk", "part").join(known.select("node", "label"), "node")
+        bounds = [F.min("n").alias("low"), F.max("n").alias("high")]
+        l, r = few.groupBy("root", "part").agg(*bounds).alias("l"), known.groupBy("root", "blk").agg(*bounds).alias("r")
+        allowed = (F.col("l.root") == F.col("r.root")) & (100 * F.col("l.high") >= percent * F.col("r.low")) & (100 * F.col("r.high") >= percent * F.col("l.low"))
+        tasks = materialise(l.join(r, allowed).select("l.root", "part", "blk"), "tasks", few_files=True)
+        columns = ["node", "root", (F.col("part") + 1).alias("i"), F.col("blk").alias("j"), F.col("side"), "label"]
+        from_few = few.join(tasks, ["root", "part"]).withColumn("side", F.lit(0)).select(*columns)
+        from_all = known.join(tasks, ["root", "blk"]).withColumn("side", F.lit(1)).select(*columns)
+        links = links.union(verified(arrays(from_few.union(from_all)), percent).select("a", "b"))
+        labels = components(links).withColumnRenamed("root", "label")
+    return roots.union(labels.select("node", F.col("label").alias("root")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
