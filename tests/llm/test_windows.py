@@ -67,3 +67,12 @@ def test_planted_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     for size in (2, 7, 12):
         assert got(docs, size) == brute(rows, size)
+
+
+def test_more_halves_than_a_filter_holds(spark, monkeypatch):
+    """The join in the filter's place gives the same."""
+    monkeypatch.setattr(windows.bitfilter, "holds", lambda n: False)
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(30)]
+    rows = [(d, " ".join([f"w{rng.randrange(9)}" for _ in range(20)] + shared[d % 7 :])) for d in range(40)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8) == brute(rows, 8)
