@@ -185,7 +185,10 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def may_link(sizes: np.ndarray, maps: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
-    """Labels of the components of all pairs whose bitmaps allow a link. With side, only pairs across sides are looked at."""
+    """For each bitmap the place of one that stands for its component, of all pairs whose bitmaps allow a link.
+
+    With side, only pairs across sides are looked at.
+    """
     order = np.argsort(sizes, kind="stable")
     size = sizes[order]
     wide = np.array([len(maps[k]) for k in order])
@@ -213,8 +216,9 @@ def may_link(sizes: np.ndarray, maps: list[np.ndarray], side: np.ndarray | None,
         joined = np.unique(np.append(label[j[100 * most >= percent * (size[i] + size[j] - most)]], label[i]))
         if len(joined) > 1:
             label[np.isin(label, joined)] = joined[0]
+    # Labels are places in the order of sizes; callers know the places of what they gave.
     out = np.empty(len(size), np.int64)
-    out[order] = label
+    out[order] = order[label]
     return out
 
 

@@ -149,3 +149,33 @@ def test_one_large_set_among_small_ones_takes_bounded_memory():
     sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (200_000, *[30] * 900)]
     assert ngram_join.bitmaps(sets).nbytes <= ngram_join.BITMAP_BYTES
     assert len(np.unique(ngram_join.connect(sets, None, 90))) == len(sets)
+
+
+def near_groups(groups, copies):
+    """Sets of any sizes in random order, and the group of each: those of a group link at 80 %, those of different ones have nothing in common."""
+    rng = np.random.default_rng(13)
+    made = []
+    for g in range(groups):
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(60, 900)), dtype=np.uint64))
+        made += [(g, np.delete(base, i)) for i in range(copies)]
+    made = [made[i] for i in rng.permutation(len(made))]
+    return np.array([g for g, _ in made]), [s for _, s in made]
+
+
+def test_a_label_is_the_place_of_a_member():
+    group, sets = near_groups(12, 5)
+    sizes, maps = np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets]
+    label = ngram_join.may_link(sizes, maps, None, 80)
+    assert (group[label] == group).all() and (label[label] == label).all() and len(np.unique(label)) == 12
+
+
+@pytest.mark.parametrize("block", [2, 2048])
+def test_refining_joins_no_strangers(spark, block):
+    group, sets = near_groups(12, 5)
+    rows = [(i, len(s), bytearray(ngram_join.bitmap(s).tobytes())) for i, s in enumerate(sets)]
+    maps = spark.createDataFrame(rows, "node long, n long, bits binary")
+    candidates = spark.createDataFrame([(i, 0) for i in range(len(sets))], "node long, root long")
+    found = {r["node"]: r["root"] for r in ngram_join.refined(candidates, maps, 80, block).collect()}
+    assert len(found) == len(sets)
+    assert Counter(Counter(found.values()).values()) == Counter({5: 12})
+    assert all(group[node] == group[root] for node, root in found.items())
