@@ -43,7 +43,14 @@ def compare(left: Attribute, op: str, right: Attribute | int | float | str) -> C
     """left op right. Strings compare by bytes, over no more than the declared length of the left attribute."""
     if not isinstance(right, Attribute):
         return OPERATORS[op](column(left), literal(right, left))
-    other = column(right)
-    if left.kind == STRING and left.length and (right.length == 0 or right.length > left.length):
-        other = first_bytes(other, left.length)
-    return OPERATORS[op](column(left), other)
+    return OPERATORS[op](*sides(left, right))
+
+
+def cuts(left: Attribute, right: Attribute) -> bool:
+    """Whether a string of the right side may be longer than the left side's declared length."""
+    return left.kind == STRING and left.length > 0 and (right.length == 0 or right.length > left.length)
+
+
+def sides(left: Attribute, right: Attribute) -> tuple[Column, Column]:
+    """What is compared of two attributes."""
+    return column(left), first_bytes(column(right), left.length) if cuts(left, right) else column(right)

@@ -1,14 +1,18 @@
 """Whole sessions over small relations: golden counts, errors, changes, loading, differences from SQL."""
 
+import datetime
 import random
 import subprocess
 import sys
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone import printer
 from marlstone.errors import EngineError, LineFault
+from marlstone.operators import relational
 from marlstone.session import Session
 from marlstone.sources.catalog import Database
 
@@ -343,3 +347,62 @@ def test_many_inserts_are_compacted_and_stay_sorted(own):
         assert values == sorted(values)
     assert [r[0] for r in own._utility(type("S", (), {"action": "print", "what": "R"})).rows.select("b").collect()] == list(range(MANY_PARTS + 3))
     assert "PushedFilters: [IsNotNull(a), EqualTo(a,7)" in "".join(own.query("select b from R where a = 7")._jdf.queryExecution().toString())
+
+
+def small_deals(monkeypatch):
+    """Few pairs a task, so that small joins are dealt."""
+    for name, value in (("PAIRS", 256), ("HELD", 16), ("MANY", 2)):
+        monkeypatch.setattr(relational, name, value, raising=False)
+
+
+def test_join_of_many_pairs_is_dealt_to_tasks(spark, monkeypatch):
+    """Two values, files of one part: no task has more than a small share of the pairs, and there are as many tasks as the pairs ask for."""
+    small_deals(monkeypatch)
+    session = Session(spark)
+    for name, n in (("R", 400), ("S", 90)):
+        columns = (f"id AS {name}_id", f"CAST(id % 2 AS INT) AS {name}_k", f"CAST(id % 7 AS DOUBLE) AS {name}_x")
+        session.register(name, spark.range(0, n, 1, 1).selectExpr(*columns), (f"{name}_id",))
+    for where, n in (("where R_k = S_k", 400 * 45), ("where R_k = S_k and R_x <> S_x", None), ("where R_x <> S_x", None), ("", 400 * 90)):
+        rows = session.query(f"select R_id, S_id from R, S {where}")
+        parts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) > 20 and max(parts) < sum(parts) / 8 and n in (None, sum(parts)), where
+
+
+def test_joins_to_unique_columns_are_not_counted(spark, monkeypatch):
+    small_deals(monkeypatch)
+    monkeypatch.setattr(relational, "dealt", lambda *_: pytest.fail("counted"))
+    session = Session(spark).register("R", spark.range(9).selectExpr("id AS a", "id % 2 AS b", "1 AS c"), ("a",)).register("S", spark.range(9).selectExpr("id AS d", "id AS e"), ("d",))
+    session.register("T", spark.range(9).selectExpr("id AS f", "id AS g"), ("f",))
+    assert session.query("select a, f from R, S, T where b = d and e = f").count() == 9
+    assert session.query("select a, f from S, R, T where b = d and a = g").count() == 9
+
+
+@pytest.mark.parametrize("where", [
+    "ka = kb", "ka = kb and xa < xb", "xa = xb", "sa = sb and xa >= xb", "xa < xb", "ka = kb and sa = sb", "ka = xi and xa <> xb", "da = tb and ka = kb", "na = nb", "",
+    "ka = kb and kb = kc", "ka = kc and xb <= xc", "sa = sb and ka <> kc",
+])
+def test_dealt_joins_equal_sql(spark, monkeypatch, where):
+    """Nulls, -0.0, NaN, values of two types, one value for most rows and copies of rows."""
+    small_deals(monkeypatch)
+    rng = random.Random(5)
+    con, session, made = duckdb.connect(), Session(spark), []
+    deal = relational.dealt
+    monkeypatch.setattr(relational, "dealt", lambda *given: made.append(deal(*given)) or made[-1])
+    floats, days = [0.0, -0.0, float("nan"), 1.5, -2.0, None], [datetime.date(2020, 1, 1 + i) for i in range(2)]
+    for t, n, k in (("A", 150, "INT"), ("B", 120, "BIGINT"), ("C", 12, "INT")):
+        c = t.lower()
+        rows = [(i, rng.choice([1, 1, 1, 1, 2, 3, None]), rng.choice(floats), rng.choice(["x", "x", "é", "", None]), rng.choice(days), 0) for i in range(n)]
+        rows += [(7, 1, 0.0, "x", days[0], 0)] * (60 if t != "C" else 3)
+        names = [f"{x}{c}" for x in "ikxsdn"]
+        if t == "B":
+            rows, names = [(*r, r[1]) for r in rows], [*(f"{x}b" for x in "ikxstn"), "xi"]
+        kinds = ["INT", k, "DOUBLE", "STRING", "TIMESTAMP" if t == "B" else "DATE", "INT", "SMALLINT"][: len(names)]
+        if t == "B":
+            rows = [(*r[:4], datetime.datetime(r[4].year, 1, r[4].day), *r[5:]) for r in rows]
+        session.register(t, spark.createDataFrame(rows, ", ".join(f"{a} {b}" for a, b in zip(names, kinds))))
+        con.execute(f"CREATE TABLE {t} ({', '.join(f'{a} {b}' for a, b in zip(names, kinds))})")
+        con.executemany(f"INSERT INTO {t} VALUES ({', '.join('?' * len(names))})", rows)
+    relations = "A, B, C" if "c" in where else "A, B"
+    text = f"select ia, ib from {relations}" + (f" where {where}" if where else "")
+    assert Counter(tuple(r) for r in session.query(text).collect()) == Counter(con.execute(text).fetchall())
+    assert [m is not None for m in made].count(True) == 1
